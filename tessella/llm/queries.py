@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from tessella.llm.linededup import OP7_SQL, op7_line_dedup
+from tessella.llm.minhash import OP10_SQL, op10_near_dedup
+from tessella.llm.mixing import op2_mixing
 from tessella.llm.packing import op5_packing
+from tessella.llm.substring import OP3_SQL, op3_substring_dedup
+from tessella.llm.suffixes import OP9_SQL, op9_suffix_dedup
 from tessella.llm.vectors import OP8_SQL, op8_top_k
 from tessella.llm.warc import OP1_SQL, op1_warc
-from tessella.llm.mixing import op2_mixing
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_near_dedup": op10_near_dedup,
+}
+SQL = {
+    "op1_warc": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op8_top_k": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_near_dedup": OP10_SQL,
 }
-SQL = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL}
