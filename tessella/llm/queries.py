@@ -8,6 +8,8 @@ from tessella.llm.mixing import op2_mixing
 from tessella.llm.packing import op5_packing
 from tessella.llm.substring import OP3_SQL, op3_substring_dedup
 from tessella.llm.suffixes import OP9_SQL, op9_suffix_dedup
+from tessella.llm.telephony import op6_telephony
+from tessella.llm.toxicity import op4_toxicity
 from tessella.llm.vectors import OP8_SQL, op8_top_k
 from tessella.llm.warc import OP1_SQL, op1_warc
 
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_telephony": op6_telephony,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
