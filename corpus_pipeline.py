@@ -1,14 +1,80 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Toxic documents go, lines that many documents share go, one document of each near-duplicate group stays, sources are
+mixed to their target weights, and what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import linededup, minhash, mixing, packing, toxicity
+from tessella.llm.staging import stage
+
+#: Ids that may be broadcast to drop documents (8 bytes each); more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``documents`` with the number of characters brought up to date."""
+    return (docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs).select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject; the model learns from the labels outside the held-out fifth."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least 10 of them share."""
+    return _with_text(linededup.dedup_lines(docs), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates on 5-word shingles at 0.8."""
+    rows = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = stage(rows.where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document: all, its first ones, or all and its first ones again."""
+    sizes = stage(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    taken = mixing.mix(sizes).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "taken")
+    head = lambda n: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), n.cast("int")), "")
+    part = F.col("__taken") - F.col("__size")
+    text = (
+        F.when(part < 0, head(F.col("__taken")))
+        .when(part == 0, F.col("text"))
+        .when(part == F.col("__size"), F.concat("text", F.lit("\n"), "text"))
+        .otherwise(F.concat("text", F.lit("\n"), head(part)))
+    )
+    rows = docs.join(taken.withColumnsRenamed({"size": "__size", "taken": "__taken"}), F.col("doc_id") == F.col("__id"))
+    return _with_text(rows.withColumn("text", text), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 ids."""
+    rows = packing.pack(docs, packing.word_tokenizer())
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 #: SQL can express neither the learned classifier nor the seeded choices; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    raise NotImplementedError
+    """Apply all stages to ``documents``; each but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
