@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.staging import new_path
+from tessella.llm.staging import new_path, stage
 
 CRLF = "\r\n"
 #: Captures in one archive file, so that a reader holds a few MB at a time.
@@ -150,9 +150,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("capture_id"), "url", F.col("html").alias("payload"))
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    captures = assemble(read_warc(spark, path, payload=False)).select("response.*", "requests", "metadata")
+    records = stage(read_warc(spark, path, payload=False), "records")
+    captures = assemble(records).select("response.*", "requests", "metadata")
     number = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d+):", 1).cast("long")
-    rows = captures.select(number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", F.coalesce("payload_digest", "payload_sha1").alias("payload_digest"), "payload_sha1", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
+    rows = stage(captures.select(number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", F.coalesce("payload_digest", "payload_sha1").alias("payload_digest"), "payload_sha1", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata")), "captures")
     full = rows.where("record_type = 'response'")
     back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(full.select(F.col("page_id").alias("refers_to"), "payload_bytes"), "refers_to")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
