@@ -30,23 +30,29 @@ ANCHOR = {"words": 6, "bytes": 16}
 U = np.uint64
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed byte planes."""
+#: Bytes sent of a record's columns: of a span its anchor (after the bucket's bits), its hash, both sides, its document
+#: (from the chunk's smallest); of a window its hash and document.
+SPAN, WINDOW = (3, 6, 1, 1, 8), (7, 8)
+
+
+def _squeeze(arrays: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
+    """The low bytes of 64-bit columns of one length, as compressed byte planes."""
     import zstandard
 
-    planes = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)]
+    planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :w].T).tobytes() for a, w in zip(arrays, widths, strict=True)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _spread(blob: bytes, *kinds: type) -> list[np.ndarray]:
+def _spread(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    n = len(raw) // sum(widths)
     out, at = [], 0
-    for k in kinds:
-        w = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).reshape(n))
+    for w in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(full.view("<u8").reshape(n))
         at += n * w
     return out
 
@@ -111,7 +117,7 @@ def anchors(t: Tokens, k: int, width: int) -> dict[str, np.ndarray]:
     In bytes, anchors that start before a local minimum (the sampled suffixes of induced sorting) come first.
     """
     none = np.zeros(0, np.int64)
-    out = {"doc": none, "s": none, "e": none, "a": none.astype(U), "c": none.astype(U), "l": none.astype(np.uint16), "r": none.astype(np.uint16)}
+    out = {"doc": none, "s": none, "e": none, "a": none.astype(U), "c": none.astype(U), "l": none.astype(U), "r": none.astype(U)}
     n = len(t.codes)
     if n < width:
         return out
@@ -139,7 +145,7 @@ def anchors(t: Tokens, k: int, width: int) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     s, e, q = i[first], i[np.append(first[1:], len(i)) - 1], q[first]
     half = -(-(width - k) // 2)
-    side = lambda ok, a, b: np.where(ok, (t.prefix.spans(np.where(ok, a, 0), np.where(ok, b, 0)) >> U(48)) | U(1), U(0)).astype(np.uint16)
+    side = lambda ok, a, b: np.where(ok, np.maximum(t.prefix.spans(np.where(ok, a, 0), np.where(ok, b, 0)) >> U(56), U(1)), U(0))
     c = mix(t.prefix.spans(s, e + width) + (q - s).astype(U) * U(0xA24BAED4963EE407))
     return {"doc": t.doc(s), "s": s, "e": e, "a": gram[q], "c": c, "l": side(q - half >= s, q - half, q), "r": side(q + k + half <= e + width, q + k, q + k + half)}
 
@@ -168,20 +174,20 @@ KEYS = "chunk long, bucket int, base long, keys binary"
 REPLY = "chunk long, bucket int, size int, bits binary"
 
 
-def _send(chunk: int, keys: np.ndarray, bits: int, base: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+def _send(chunk: int, keys: np.ndarray, bits: int, base: int, columns: list[np.ndarray], widths: tuple[int, ...]) -> pa.RecordBatch:
     """One row per bucket with keys sorted by their first hash."""
     bucket = (keys >> U(64 - bits)).astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(edges[1:], len(keys))
-    blobs = [_squeeze(*(c[a:b] for c in columns)) for a, b in zip(edges, ends, strict=True)]
+    blobs = [_squeeze([c[a:b] for c in columns], widths) for a, b in zip(edges, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), chunk)), pa.array(bucket[edges].astype(np.int32)), pa.array(np.full(len(edges), base)), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "base", "keys"])
 
 
-def _answer(table: pa.Table, kinds: list[type], settle) -> pa.Table:
+def _answer(table: pa.Table, widths: tuple[int, ...], settle) -> pa.Table:
     """Run ``settle(columns, docs)`` over a bucket's keys and send each chunk its bits."""
     chunks, bases, blobs = (table.column(c).to_pylist() for c in ("chunk", "base", "keys"))
     order = sorted(range(len(chunks)), key=chunks.__getitem__)
-    parts = [_spread(blobs[i], *kinds) for i in order]
+    parts = [_spread(blobs[i], widths) for i in order]
     sizes = [len(p[0]) for p in parts]
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
     docs = cols[-1].astype(np.int64) + np.repeat([bases[i] for i in order], sizes)
@@ -235,7 +241,7 @@ def _covered(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
-STEP = f"kind string, {KEYS}, parts array<binary>, {RESULT}"
+STEP = f"kind string, chunk long, parts array<binary>, {RESULT}"
 
 
 def _results(t: Tokens, ids, offs, data, gone: np.ndarray, docs: np.ndarray, kind: str, keep_text: bool) -> dict[str, list]:
@@ -261,11 +267,11 @@ def _results(t: Tokens, ids, offs, data, gone: np.ndarray, docs: np.ndarray, kin
 
 
 RESULT_TYPES = dict(zip(NAMES, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string()), strict=True))
-STEP_TYPES = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(), "base": pa.int64(), "keys": pa.binary(), "parts": pa.list_(pa.binary())} | RESULT_TYPES
+STEP_TYPES = {"kind": pa.string(), "chunk": pa.int64(), "parts": pa.list_(pa.binary())} | RESULT_TYPES
 
 
 def _step(n: int, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([cols[c].cast(t) if isinstance(cols.get(c), pa.Array) else pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in STEP_TYPES.items()], names=list(STEP_TYPES))
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in STEP_TYPES.items()], names=list(STEP_TYPES))
 
 
 def remove_repeats(docs: DataFrame, kind: str, width: int = 50, keep_text: bool = True) -> DataFrame:
@@ -297,12 +303,10 @@ def remove_repeats(docs: DataFrame, kind: str, width: int = 50, keep_text: bool
                 if len(owner):
                     base = int(ids.min())
                     a = x["a"][owner]
-                    offset = doc[owner] - base
-                    yield _send(chunk, a, bits, base, [(a >> U(32 - bits)).astype(np.uint32), x["c"][owner], x["l"][owner], x["r"][owner], offset.astype(np.uint64)])
+                    yield _send(chunk, a, bits, base, [a >> U(40 - bits), x["c"][owner], x["l"][owner], x["r"][owner], doc[owner] - base], SPAN)
 
     asked = chunks.select("chunk", "parts").mapInArrow(send_spans, KEYS)
-    kinds = [np.uint32, np.uint64, np.uint16, np.uint16, np.uint64]
-    replies = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, kinds, _settle_spans), REPLY)
+    replies = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, SPAN, _settle_spans), REPLY)
     gathered = lambda r: r.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "size", "bits")).alias("replies"))  # noqa: E731  at most one per bucket
     told = chunks.select("chunk", "parts").join(gathered(replies), "chunk", "left")
 
@@ -323,12 +327,8 @@ def remove_repeats(docs: DataFrame, kind: str, width: int = 50, keep_text: bool
                 if not later.any():
                     continue
                 s, e = x["s"][open_], x["e"][open_]
-                at, a = _ranges(s, e), np.repeat(x["a"][open_], e - s + 1)
-                w, key, smallest, _, _ = _windows(t, at, a, width, ids)
-                sent = _send(chunk, w, bits, int(ids.min()), [key, (smallest - ids.min()).astype(np.uint64)])
-                yield _step(sent.num_rows, kind=["window"] * sent.num_rows, **{c: sent.column(c) for c in ("chunk", "bucket", "base", "keys")})
                 keep = np.flatnonzero(later)
-                moved = np.cumsum(np.where(later, 0, np.diff(t.offs))) # tokens of dropped documents before a kept one
+                moved = np.cumsum(np.where(later, 0, np.diff(t.offs)))  # tokens of dropped documents before a kept one
                 shift = lambda v, d: v - moved[d]
                 text = b"".join([data[offs[d] : offs[d + 1]].tobytes() for d in keep])
                 flags = np.diff(np.concatenate([[0], gone[np.repeat(later, np.diff(t.offs))].astype(np.int8), [0]]))
@@ -338,18 +338,30 @@ def remove_repeats(docs: DataFrame, kind: str, width: int = 50, keep_text: bool
                 yield _step(1, kind=["pending"], chunk=[chunk], parts=[packed])
 
     second = stage(told.mapInArrow(settle, STEP), "settled", "zstd", by=["kind"])
-    windows = second.where("kind = 'window'").select("chunk", "bucket", "base", "keys")
-    replies = windows.groupBy("bucket").applyInArrow(lambda t: _answer(t, [np.uint64, np.uint64], _settle_windows), REPLY)
-    told = second.where("kind = 'pending'").select("chunk", "parts").join(gathered(replies), "chunk", "left")
+    pending = second.where("kind = 'pending'").select("chunk", "parts")
+
+    def windows(parts):
+        ids, offs, data = _unpack(parts)
+        t = Tokens(data, offs, kind)
+        s, e = np.frombuffer(parts[4], "<i8").reshape(2, -1)
+        at, a = _ranges(s, e), np.repeat(np.frombuffer(parts[5], U), e - s + 1)
+        return ids, offs, data, t, at, _windows(t, at, a, width, ids)
+
+    def send_windows(batches):
+        for batch in batches:
+            for chunk, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, _, _, _, _, (w, key, smallest, _, _) = windows(parts)
+                base = int(ids.min())
+                yield _send(chunk, w, bits, base, [key, smallest - base], WINDOW)
+
+    replies = pending.mapInArrow(send_windows, KEYS).groupBy("bucket").applyInArrow(lambda t: _answer(t, WINDOW, _settle_windows), REPLY)
+    told = pending.join(gathered(replies), "chunk", "left")
 
     def finish(batches):
         for batch in batches:
             for parts, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, offs, data = _unpack(parts)
-                t = Tokens(data, offs, kind)
-                cover, (s, e) = (np.frombuffer(p, "<i8").reshape(2, -1) for p in parts[3:5])
-                at, a = _ranges(s, e), np.repeat(np.frombuffer(parts[5], U), e - s + 1)
-                w, _, smallest, group, doc = _windows(t, at, a, width, ids)
+                ids, offs, data, t, at, (w, _, smallest, group, doc) = windows(parts)
+                cover = np.frombuffer(parts[3], "<i8").reshape(2, -1)
                 lost = _bits([(r["bucket"], r["size"], r["bits"]) for r in back or ()], len(w), 1)[0][group] | (doc != smallest[group])
                 gone = _covered(len(t.codes), np.concatenate([cover[0], at[lost]]), np.concatenate([cover[1], at[lost] + width]))
                 rows = _results(t, ids, offs, data, gone, np.arange(len(ids)), kind, keep_text)
