@@ -30,14 +30,12 @@ def duck():
 
 def rows(df) -> list[tuple]:
     """Rows in a form that compares: columns by name, numbers rounded, sorted."""
-    import math
+    import pandas as pd
 
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
-            return ""
         if hasattr(v, "item"):
             v = v.item()
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or v != v:
             return ""
         if isinstance(v, bool):
             return str(v)
