@@ -147,13 +147,13 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, batches: int = 3, fanout:
     """Drop, in every document, the lines whose key occurs in at least ``least_docs`` documents.
 
     Documents go to the runs in ``batches`` batches.  A key's count is a partial aggregate and the join of
-    documents' keys with the common ones can be split, so one line in a third of all documents strains no task.
+    documents' keys with the common ones (staged) can be split, so one line in a third of all documents strains no task.
     """
     lines = stage(document_lines(docs), "lines")
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b).select(F.explode("keys").alias("key")))
-    common = runs.counts().where(F.col("docs") >= least_docs).select("key")
+    common = stage(runs.counts().where(F.col("docs") >= least_docs).select("key"), "common")
     hits = lines.select("doc_id", F.explode("keys").alias("key")).join(common, "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
     return drop_lines(docs, hits)
 
