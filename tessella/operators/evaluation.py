@@ -103,7 +103,7 @@ def centroid_distance(points: DataFrame, by: list[str], miss: float) -> DataFram
     without points on either side are NaN.  A frame has a handful of points; frames are grouped over the cluster."""
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf.loc[pdf["side"] == s, ["x", "y"]].to_numpy(float) for s in (0, 1))
         total = max(len(a), len(b))
         value = NAN
