@@ -33,6 +33,16 @@ def tail_holdout(episodes: DataFrame) -> DataFrame:
     return rows.select("episode", "base", number.alias("row_no"), (number >= F.col("total") - F.ceil(F.col("total") / 20)).alias("is_test"))
 
 
+def numbered_steps(steps: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Steps (episode, base, ...) with their number in the whole table and ``is_test`` as ``tail_holdout`` has it, by a
+    join with the episodes' offsets alone."""
+    placed = prefix_sum(episodes.where("length > 0"), "episode", "length", "offset").select("episode", "offset")
+    total = episodes.where("length > 0").agg(F.sum("length").alias("total"))
+    rows = steps.join(placed, "episode").crossJoin(F.broadcast(total))  # one row
+    number = F.col("offset") + F.col("base")
+    return rows.withColumn("row_no", number).withColumn("is_test", number >= F.col("total") - F.ceil(F.col("total") / 20)).drop("offset", "total")
+
+
 def parse_ranges(spec: Column) -> Column:
     """Sorted distinct episode ids of a split specification such as ``"0:99, 200-299 42"``.
 
