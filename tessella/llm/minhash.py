@@ -13,10 +13,8 @@ from tessella.llm.staging import stage
 
 #: Prefix lengths of a tree's order at which regions are formed.
 DEPTHS = (2, 4, 6)
-#: Seeded orders of each region; their first and last documents are what all others of the region are paired with.
-ORDERS = 4
-#: Documents of a region that all these orders serve; a larger one uses its first order only and goes deeper.
-SMALL_REGION = 32
+#: Documents of a region that are all paired with each other; a larger one is crowded and goes deeper.
+SMALL_REGION = 16
 #: Ids that may be broadcast to filter texts (8 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
 
@@ -83,26 +81,27 @@ def signatures(docs: DataFrame, words: int, trees: int) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """(lo, hi, votes): pairs of documents that are neighbours in some region of some tree.
 
-    A region is the documents with a common prefix in a tree's order.  Each of its documents is paired with the first
-    and the last in each of a few orders seeded by the region (one order where it is large), so pairs grow with documents and never with the square of
-    a region; over all trees and depths that meets many partners.  A region with more documents than these can pair
-    completely is divided again at the next depth.  Regions are staged before documents join them, so that a join can
-    be split where one region holds a large part of all documents.
+    A region is the documents with a common prefix in a tree's order.  All documents of a small region are paired with
+    each other, so it needs no further division.  Those of a crowded one are paired with its first and its last in an
+    order by a hash of document and region, and it is divided again at the next depth; pairs grow with documents and
+    never with the square of a region.  Regions are staged before documents join them, so that a join can be split
+    where one region holds a large part of all documents.
     """
     rows = reps.select("doc_id", F.explode(F.arrays_zip(*(f"k{d}" for d in DEPTHS))).alias("k")).select("doc_id", "k.*")
     found = None
     for level, d in enumerate(DEPTHS):
         key, deeper = f"k{d}", [f"k{e}" for e in DEPTHS[level + 1 :]]
-        seeds = [f"xxhash64({key}, {r})" for r in range(ORDERS)]
-        ends = [f(F.expr(f"doc_id ^ {seed}")).alias(f"{name}{r}") for r, seed in enumerate(seeds) for name, f in (("x", F.min), ("y", F.max))]
+        ends = [F.expr(f"{f}(struct(xxhash64(doc_id, {key}) AS rank, doc_id)).doc_id").alias(f) for f in ("min", "max")]
         region = stage(rows.groupBy(key).agg(*ends, F.count("*").alias("n")).where("n > 1"), f"region-{d}")
-        ends = [F.expr(f"{name}{r} ^ {seed}") for r, seed in enumerate(seeds) for name in "xy"]
-        others = F.when(F.col("n") <= SMALL_REGION, F.array_distinct(F.array(*ends))).otherwise(F.array_distinct(F.array(*ends[:2])))
-        rows = stage(rows.join(region, key).select("doc_id", others.alias("others"), "n", *deeper), f"neighbours-{d}")
-        pairs = rows.select("doc_id", F.explode("others").alias("other")).where("doc_id <> other")
+        rows = stage(rows.join(region, key).select("doc_id", key, F.array("min", "max").alias("ends"), "n", *deeper), f"neighbours-{d}")
+        whole = rows.where(F.col("n") <= SMALL_REGION).groupBy(key).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        pairs = whole.select("ids", F.posexplode("ids").alias("at", "lo")).select("lo", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("hi"))
+        rows = rows.where(F.col("n") > SMALL_REGION)
+        hubs = rows.select("doc_id", F.explode("ends").alias("end")).select(F.least("doc_id", "end").alias("lo"), F.greatest("doc_id", "end").alias("hi"))
+        pairs = pairs.unionByName(hubs)
         found = pairs if found is None else found.unionByName(pairs)
-        rows = rows.where(f"n > {2 * ORDERS + 1}").select("doc_id", *deeper)
-    return found.groupBy(F.least("doc_id", "other").alias("lo"), F.greatest("doc_id", "other").alias("hi")).agg(F.count("*").alias("votes"))
+        rows = rows.select("doc_id", *deeper)
+    return found.where("lo < hi").groupBy("lo", "hi").agg(F.count("*").alias("votes"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -199,6 +199,13 @@ def test_near_duplicates(docs, empty):
     assert sum(not r["kept"] for r in got.values()) >= 2 and minhash.near_duplicates(empty).count() == 0
 
 
+def test_small_regions_are_paired_completely(spark):
+    """Nine documents with ids in a row share one region; one end of every XOR order of them was id 8."""
+    reps = spark.range(9).selectExpr("id AS doc_id", *(f"array(CAST({d} AS BIGINT)) AS k{d}" for d in minhash.DEPTHS))
+    got = {(r["lo"], r["hi"]) for r in minhash.candidates(reps).collect()}
+    assert got == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(10, 40)] + [(100, 200), (200, 100), (7, 7), (300, 200)] + [(50, k) for k in range(500, 560)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
