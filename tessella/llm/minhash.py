@@ -78,17 +78,17 @@ def signatures(docs: DataFrame, words: int, trees: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"k{d} array<long>" for d in DEPTHS))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(lo, hi, votes): pairs of documents that are neighbours in some region of some tree.
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lo, hi, votes): pairs of documents that are neighbours in some region of some tree; (doc_id): those of crowded regions.
 
     A region is the documents with a common prefix in a tree's order.  All documents of a small region are paired with
     each other, so it needs no further division.  Those of a crowded one are paired with its first and its last in an
     order by a hash of document and region, and it is divided again at the next depth; pairs grow with documents and
-    never with the square of a region.  Regions are staged before documents join them, so that a join can be split
+    never with the square of a region.  That leaves pairs of a crowded region out; ``rare_pairs`` finds them.  Regions are staged before documents join them, so that a join can be split
     where one region holds a large part of all documents.
     """
     rows = reps.select("doc_id", F.explode(F.arrays_zip(*(f"k{d}" for d in DEPTHS))).alias("k")).select("doc_id", "k.*")
-    found = None
+    found = crowded = None
     for level, d in enumerate(DEPTHS):
         key, deeper = f"k{d}", [f"k{e}" for e in DEPTHS[level + 1 :]]
         ends = [F.expr(f"{f}(struct(xxhash64(doc_id, {key}) AS rank, doc_id)).doc_id").alias(f) for f in ("min", "max")]
@@ -100,8 +100,48 @@ def candidates(reps: DataFrame) -> DataFrame:
         hubs = rows.select("doc_id", F.explode("ends").alias("end")).select(F.least("doc_id", "end").alias("lo"), F.greatest("doc_id", "end").alias("hi"))
         pairs = pairs.unionByName(hubs)
         found = pairs if found is None else found.unionByName(pairs)
+        crowded = rows.select("doc_id").distinct() if crowded is None else crowded
         rows = rows.select("doc_id", *deeper)
-    return found.where("lo < hi").groupBy("lo", "hi").agg(F.count("*").alias("votes"))
+    return found.where("lo < hi").groupBy("lo", "hi").agg(F.count("*").alias("votes")), crowded
+
+
+def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) -> DataFrame:
+    """(lo, hi): every pair of ``texts`` (doc_id, text) in different groups (id, component) that can be similar enough.
+
+    An exact prefix filter.  In one order of all shingles, rarest first, the sets x, y of a similar pair, |x| <= |y|, share one
+    of the first |x| - a + 1 of x and |y| - b + 1 of y, where a = 2t / (1 + t) |x| and b = t |y| bound the overlap.  Shingles
+    of one document only count for these numbers and are dropped.  Groups meet by shingle before their documents do, so a
+    large group whose members are connected makes no pairs among them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            data, offs = string_buffer(batch.column(1))
+            for i, j in passes(offs):
+                s, edges = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(edges)), lists], names=["doc_id", "n", "shingles"])
+
+    sets = stage(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, shingles array<long>"), "crowded-sets")
+    each = sets.select("doc_id", "n", F.explode("shingles").alias("h"))
+    shared = stage(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
+    first = each.join(shared, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("order"))
+    first = first.withColumn("alone", F.col("n") - F.size("order")).withColumn("probe", F.expr(f"n - ({percent} * n + 99) DIV 100 + 1"))
+    first = first.withColumn("index", F.expr(f"n - ({2 * percent} * n + {99 + percent}) DIV {100 + percent} + 1")).where("probe > alone")
+    first = first.join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
+    first = first.select("doc_id", "n", "g", "alone", "index", F.posexplode(F.expr("slice(order, 1, CAST(probe - alone AS INT))")).alias("at", "s"))
+    first = stage(first.select("doc_id", "n", "g", F.col("s.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"), F.expr("alone + at < index").alias("indexed")), "prefixes")
+    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed")), "prefix-groups")
+    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "h"))
+    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"x_g < y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least")
+    met = stage(met.select("h", "x_g", "y_g"), "met")
+    half = stage(met.join(side(first, "x"), ["h", "x_g"]), "half-pairs")
+    smaller = F.expr("struct(x_n, x_doc_id) < struct(y_n, y_doc_id)")
+    near = F.when(smaller, F.col("x_indexed")).otherwise(F.col("y_indexed")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    pairs = half.join(side(first, "y"), ["h", "y_g"]).where(near)
+    pairs = pairs.groupBy(F.least("x_doc_id", "y_doc_id").alias("lo"), F.greatest("x_doc_id", "y_doc_id").alias("hi"))
+    pairs = pairs.agg(F.max(F.expr("least(x_n - x_at, y_n - y_at)")).alias("most"), F.first(F.expr("x_n + y_n")).alias("n"))
+    return pairs.where(f"{100 + percent} * most >= {percent} * n").select("lo", "hi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,7 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
 
     Documents with equal sets (128-bit fingerprints) are one member of the forest, however many they are.  Every
     candidate pair is confirmed on whole texts unless earlier links already connect it: first each document with
-    the partner that most regions name, then all pairs that these links haven't been seen to connect.  A pair of similarity 0.8 is
+    the partner that most regions name, then all pairs that these links haven't been seen to connect, then all pairs of
+    documents of crowded regions that an exact prefix filter finds in different groups.  A pair of similarity 0.8 is
     missed by all 16 trees at depth 2 with probability 0.36^16 = 8e-8.  Null and empty texts are linked with
     nothing.  ``doc_id`` identifies documents; an empty table gives no rows.
     """
@@ -143,18 +184,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     sets = stage(sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "sets")
     member = stage(sigs.select("doc_id", "n_shingles", "fp1", "fp2").join(sets, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
     reps = sigs.join(member.where("n_shingles > 0 AND doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").drop("n_shingles", "fp1", "fp2")
-    pairs = stage(candidates(reps), "pairs")
+    pairs, crowded = candidates(reps)
+    pairs, crowded = stage(pairs, "pairs"), stage(crowded, "crowded")
     ids = stage(pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     texts = stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
     best = pairs.groupBy("hi").agg(F.expr("max_by(lo, struct(votes, -lo))").alias("lo")).select("lo", "hi")
     first = stage(confirm(best, texts, words, percent), "links")
-    group = contracted(first.select(F.col("lo").alias("a"), F.col("hi").alias("b")), rounds=2).groupBy("u").agg(F.min("v").alias("v"))
-    group = stage(group, "groups")  # ids that share a star are connected; those still apart are compared
+    edges = contracted(first.select(F.col("lo").alias("a"), F.col("hi").alias("b")), rounds=2)
+    group = stage(edges.groupBy("u").agg(F.min("v").alias("v")), "groups")  # ids that share a star are connected; those still apart are compared
     a, b = (group.select(F.col("u").alias(x), F.col("v").alias(f"{x}_group")) for x in ("lo", "hi"))
     apart = pairs.join(best, ["lo", "hi"], "left_anti").join(a, "lo", "left").join(b, "hi", "left").where("coalesce(lo_group, lo) <> coalesce(hi_group, hi)").select("lo", "hi")
     second = stage(confirm(stage(apart, "apart"), texts, words, percent), "links")
-    whole = components(first.unionByName(second).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    stars = edges.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(second.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    stars = stage(components(stars), "stars")
+    rare = stage(rare_pairs(texts.join(crowded, "doc_id", "left_semi"), stars, words, percent), "rare-pairs")
+    third = stage(confirm(rare, texts, words, percent), "links")
+    links = third.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    whole = stars if third.isEmpty() else components(links)
     rows = member.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

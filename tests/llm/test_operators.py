@@ -202,10 +202,26 @@ def test_near_duplicates(docs, empty):
 def test_small_regions_are_paired_completely(spark):
     """Nine documents with ids in a row share one region; one end of every XOR order of them was id 8."""
     reps = spark.range(9).selectExpr("id AS doc_id", *(f"array(CAST({d} AS BIGINT)) AS k{d}" for d in minhash.DEPTHS))
-    got = {(r["lo"], r["hi"]) for r in minhash.candidates(reps).collect()}
+    got = {(r["lo"], r["hi"]) for r in minhash.candidates(reps)[0].collect()}
     assert got == {(a, b) for a in range(9) for b in range(a + 1, 9)}
 
 
+def test_near_duplicates_on_one_template(spark):
+    """400 documents of one long template, similarity 0.71, with 100 pairs at 0.80 among them: all regions are crowded."""
+    body, texts = [f"t{k}" for k in range(300)], []
+    for i in range(400):
+        tail = [f"d{i}w{k}" for k in range(60)]
+        if i < 200 and i % 2:
+            tail[:24] = [f"d{i - 1}w{k}" for k in range(24)]
+        texts.append(" ".join(body + tail))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want == {(a, a + 1) for a in range(0, 200, 2)}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, words=4, trees=8).collect()}
+    assert got == {i: i - i % 2 if i < 200 else i for i in range(400)}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(10, 40)] + [(100, 200), (200, 100), (7, 7), (300, 200)] + [(50, k) for k in range(500, 560)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
