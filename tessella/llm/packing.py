@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,22 @@ _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 2
 _CLASS[IS_SPACE] = 0
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def literals(data: np.ndarray, offs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the added tokens in the documents, leftmost first and the longest of those at one place."""
+    raw, found = data.tobytes(), []
+    if words and any(w in raw for w in words):
+        for m in re.finditer(b"|".join(map(re.escape, sorted(words, key=len, reverse=True))), raw):
+            if np.searchsorted(offs, m.start(), "right") == np.searchsorted(offs, m.end() - 1, "right"):
+                found.append(m.span())
+    s, e = np.array(found, np.int64).reshape(-1, 2).T
+    return s, e
+
+
+def pieces(data: np.ndarray, offs: np.ndarray, words: tuple[bytes, ...] | list[bytes] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and documents of the text pieces that a word tokenizer treats on their own.
 
     Cuts stand at white space and between an ASCII letter and ASCII punctuation other than the apostrophe, where
-    neither Unicode composition nor a pre-tokenizer's pattern can reach across.
+    neither Unicode composition nor a pre-tokenizer's pattern can reach across.  Each of the added tokens ``words`` is one piece.
     """
     n = len(data)
     if not n:
@@ -38,6 +50,9 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cut[1:n] |= (kind[1:] + kind[:-1] == 3) & (kind[1:] != 0) & (kind[:-1] != 0)
     inside = np.zeros(n + 2, bool)
     inside[1 : n + 1] = kind != 0
+    for s, e in zip(*literals(data, offs, words), strict=True):
+        cut[s + 1 : e] = False
+        cut[[s, e]] = inside[s + 1 : e + 1] = True
     starts = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
     ends = np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
@@ -51,7 +66,7 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.slots = slots
         self.clear()
@@ -94,7 +109,7 @@ class PieceIds:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents one after another, END_ID behind each, and how many each has."""
-        starts, ends, doc = pieces(data, offs)
+        starts, ends, doc = pieces(data, offs, self.added)
         h = Prefix(BYTE_CODE[LOWER][data]).spans(starts, ends) | np.uint64(1)
         slot = self.find(h)
         if (miss := np.flatnonzero(slot < 0)).size:

@@ -252,6 +252,17 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, packing.word_tokenizer()).count() == 0
 
 
+def test_packing_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    tk, ids = Tokenizer.from_file(packing.word_tokenizer()), packing.PieceIds(packing.word_tokenizer())
+    texts = ["a<|endoftext|>b", "<|startoftext|> x (<|endoftext|>)<|endoftext|>", "<|ENDOFTEXT|> \u00e9<|endoftext|>'s 12<|endoftext|>3", "<|endof", "text|>", "<<|endoftext|>>"]
+    raw = [t.encode() for t in texts]
+    got, sizes = ids.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [[*tk.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert got.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def test_telephony(spark, docs, empty):
     media = telephony.encode(docs)
     got = {r["doc_id"]: r for r in telephony.decode(media).collect()}
