@@ -40,18 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document: all, its first ones, or all and its first ones again."""
+    """The words that the mix takes of each document: its whole text as often as all blocks are taken, then the blocks taken once more."""
     sizes = stage(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
-    taken = mixing.mix(sizes).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "taken")
-    head = lambda n: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), n.cast("int")), "")
-    part = F.col("__taken") - F.col("__size")
-    text = (
-        F.when(part < 0, head(F.col("__taken")))
-        .when(part == 0, F.col("text"))
-        .when(part == F.col("__size"), F.concat("text", F.lit("\n"), "text"))
-        .otherwise(F.concat("text", F.lit("\n"), head(part)))
-    )
-    rows = docs.join(taken.withColumnsRenamed({"size": "__size", "taken": "__taken"}), F.col("doc_id") == F.col("__id"))
+    taken = mixing.mix(sizes).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("rounds").alias("__rounds"), F.col("spans").alias("__spans"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = lambda w: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(w, s["begin"] + 1, s["end"] - s["begin"]))), "")
+    part = F.when(F.size("__spans") > 0, F.transform(F.array(words), cut)).otherwise(F.expr("CAST(array() AS array<string>)"))  # words bound once
+    text = F.array_join(F.concat(F.array_repeat("text", F.col("__rounds")), part), "\n")
+    rows = docs.join(taken, F.col("doc_id") == F.col("__id"))
     return _with_text(rows.withColumn("text", text), docs.columns)
 
 

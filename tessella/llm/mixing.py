@@ -64,7 +64,8 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: st
 
 
 def mix(sizes: DataFrame, block_words: int = 16, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 17) -> DataFrame:
-    """How many words of each document (doc_id, source, size) the mix takes.
+    """How many words of each document (doc_id, source, size) the mix takes, and which: all of them ``rounds`` times, and
+    the ``spans`` [begin, end) in words, those of the blocks taken once more.
 
     Sources in code point order, null last, weigh ``cycle`` in turn.  Each source's words are dealt over shards in
     seeded order and cut into equal blocks; Sainte-Laguë deals the mix's blocks to sources and each source's to
@@ -101,7 +102,12 @@ def mix(sizes: DataFrame, block_words: int = 16, share: float = 1.5, most: float
     overlap = lambda k: F.greatest(F.lit(0), F.least(F.col("end"), edge(k + 1)) - F.greatest(F.col("begin"), edge(k)))
     more = F.aggregate(F.sequence(first.cast("long") - 1, last.cast("long") + 1), F.lit(0).cast("long"), lambda acc, k: acc + F.when((k >= 0) & (k < F.col("blocks")) & chosen(k), overlap(k)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.when(F.col("extra") > 0, more).otherwise(F.lit(0))).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
+    inside = lambda k: F.struct((F.greatest(F.col("begin"), edge(k)) - F.col("begin")).cast("int").alias("begin"), (F.least(F.col("end"), edge(k + 1)) - F.col("begin")).cast("int").alias("end"))
+    blocks = F.filter(F.sequence(first.cast("long") - 1, last.cast("long") + 1), lambda k: (k >= 0) & (k < F.col("blocks")) & chosen(k) & (overlap(k) > 0))
+    none = F.expr("CAST(array() AS array<struct<begin: int, end: int>>)")
+    spans = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.transform(blocks, inside)).otherwise(none)
+    times = F.when(F.col("size") > 0, F.col("rounds")).otherwise(F.lit(0)).cast("int")
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", times.alias("rounds"), spans.alias("spans"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,25 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty.select("doc_id", "source", F.lit(0).cast("long").alias("size"))).count() == 0
 
 
+def test_mixed_texts_are_the_chosen_blocks(spark):
+    """Every word of a stage's text is one that the mix's blocks hold, in place, so tails are taken as often as heads."""
+    import corpus_pipeline as pipeline
+
+    texts = {i: " ".join(f"d{i}w{k}" for k in range(40 + 7 * i)) for i in range(30)}
+    df = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in texts.items()], "doc_id long, text string, source string")
+    sizes = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    plan, got = mixing.mix(sizes).collect(), {r["doc_id"]: r["text"] for r in pipeline.mix_sources(spark, df, "").collect()}
+    want = {}
+    for r in plan:
+        words = texts[r["doc_id"]].split()
+        some = [w for s in r["spans"] for w in words[s["begin"] : s["end"]]]
+        assert r["taken"] == r["rounds"] * r["size"] + len(some) and len(set(some)) == len(some)
+        if r["taken"]:
+            want[r["doc_id"]] = words * r["rounds"] + some
+    assert {i: t.split() for i, t in got.items()} == want
+    assert any(0 < s["begin"] for r in plan for s in r["spans"][:1]) and any(r["spans"] and r["spans"][-1]["end"] == r["size"] for r in plan)
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     for votes, seats in (([53.0, 24.0, 23.0, 0.0], 7), ([10.0, 10.0, 10.0], 5), ([1.0, 1000.0], 3), ([5.0, 3.0, 1.0], 0), ([1e6, 3.0, 2.0], 500)):
         df = spark.createDataFrame([(1, k, v, seats) for k, v in enumerate(votes)], "g int, k int, votes double, seats long")
