@@ -33,6 +33,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_CHAIN, _SEED = np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 1 << 12
+
+
+def chain(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hashes of sequences one item longer: no linear map, so that no two texts collide whatever the constants are."""
+    return mix(h * _CHAIN + x)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span [start, end); spans may overlap.
+
+    All spans advance together, eight bytes at a time; those that have ended leave.
+    """
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = end - start
+    h = mix(left.astype(np.uint64) + np.uint64((seed + 1) * int(_SEED) % (1 << 64)))
+    who = np.flatnonzero((left > 0) & (left <= LONG_SPAN))
+    at, left, own = start[who], left[who], h[who]
+    while len(who):
+        own = chain(own, eight[at] & _MASKS[np.minimum(left, 8)])
+        stay = left > 8
+        if not stay.all():
+            h[who[~stay]] = own[~stay]
+            who, at, left, own = who[stay], at[stay], left[stay], own[stay]
+        at, left = at + 8, left - 8
+    if len(far := np.flatnonzero(end - start > LONG_SPAN)):
+        import xxhash
+
+        h[far] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed) for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return h
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Disjoint spans in order, none of them empty, as one binary column."""
+    n = ends - starts
+    edges = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] = 1
+    mark[ends] -= 1
+    body = data[np.cumsum(mark[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(body)])
+
+
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import BYTE_CODE, IS_SPACE, LOWER, Prefix, passes, string_buffer
+from tessella.llm.arrowtext import IS_SPACE, LOWER, gathered, passes, string_buffer
 from tessella.llm.staging import stage
 
 SEQUENCE, END_ID = 4096, 2
@@ -59,79 +60,69 @@ def pieces(data: np.ndarray, offs: np.ndarray, words: tuple[bytes, ...] | list[b
 
 
 class PieceIds:
-    """The token ids of every piece met so far, in flat arrays of bounded size, looked up a batch at a time."""
+    """The token ids of the pieces met so far, by their bytes, in flat arrays; a pass looks each distinct piece up once."""
 
-    def __init__(self, path: str, slots: int = 1 << 21) -> None:
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.slots = slots
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int64)
-        self.count = np.zeros(self.slots, np.int32)
-        self.ids, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, -1 where there is none."""
-        out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h % np.uint64(self.slots)).astype(np.int64)
-        while len(todo):
-            there = self.key[slot]
-            hit = there == h[todo]
-            out[todo[hit]] = slot[hit]
-            go = ~hit & (there != 0)
-            todo, slot = todo[go], (slot[go] + 1) % self.slots
-        return out
-
-    def add(self, h: np.ndarray, texts: list[str]) -> None:
-        """Encode new pieces (distinct hashes)."""
-        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for x in found for i in x), self.kind, int(count.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), self.kind)])
-        at = self.used + np.cumsum(count, dtype=np.int64) - count
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used, self.held = self.used + len(flat), self.held + len(h)
-        todo, slot = np.arange(len(h)), (h % np.uint64(self.slots)).astype(np.int64)
-        while len(todo):
-            free = self.key[slot] == 0
-            place, who = np.unique(slot[free], return_index=True)
-            who = todo[free][who]
-            self.key[place], self.at[place], self.count[place] = h[who], at[who], count[who]
-            go = self.key[slot] != h[todo]
-            todo, slot = todo[go], (slot[go] + 1) % self.slots
+        """Forget all pieces; slot 0 is the end of a document."""
+        self.slot: dict[bytes, int] = {}
+        self.ids, self.used = np.full(1 << 20, END_ID, self.kind), 1
+        self.at, self.count, self.held = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        """The array of that name with room for ``n`` items at least."""
+        own = getattr(self, name)
+        if n > len(own):
+            own = np.concatenate([own, np.zeros(max(len(own), n - len(own)), own.dtype)])
+            setattr(self, name, own)
+        return own
+
+    def add(self, pieces_: list[bytes]) -> None:
+        """Encode new pieces.  One of ASCII letters alone is lower case already and one pre-token, so the model takes it as it is."""
+        model = self.tokenizer.model
+        found = [[t.id for t in model.tokenize(p.decode())] if p.isalpha() else None for p in pieces_]
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, x in zip(rest, self.tokenizer.encode_batch([pieces_[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            found[k] = x.ids
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        end, first, held = self.used + int(count.sum()), self.held, self.held + len(found)
+        self._room("ids", end)[self.used : end] = np.fromiter(chain.from_iterable(found), self.kind, end - self.used)
+        self._room("at", held)[first:held] = self.used + np.cumsum(count) - count
+        self._room("count", held)[first:held] = count
+        self.slot.update(zip(pieces_, range(first, held), strict=True))
+        self.used, self.held = end, held
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents one after another, END_ID behind each, and how many each has."""
         starts, ends, doc = pieces(data, offs, self.added)
-        h = Prefix(BYTE_CODE[LOWER][data]).spans(starts, ends) | np.uint64(1)
-        slot = self.find(h)
-        if (miss := np.flatnonzero(slot < 0)).size:
-            new, first = np.unique(h[miss], return_index=True)
-            if self.held + len(new) > self.slots * 0.6:
-                self.clear()
-                miss = np.arange(len(h))
-                new, first = np.unique(h, return_index=True)
-                while len(new) > self.slots * 0.6:
-                    self.slots *= 2
-                    self.clear()
-            raw = data.tobytes()
-            self.add(new, [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in miss[first]])
-            slot[miss] = self.find(h[miss])
-        count = self.count[slot].astype(np.int64)
+        coded = gathered(LOWER[data], starts, ends).dictionary_encode()
+        _, edges, raw = coded.dictionary.buffers()
+        edges, raw = np.frombuffer(edges, np.int64, len(coded.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+        words = [raw[a:b] for a, b in pairwise(edges)]
+        known = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        if self.held + len(new) > self.most and self.held > 1:
+            self.clear()
+            new = np.arange(len(words))
+        known[new] = np.arange(self.held, self.held + len(new))
+        self.add([words[k] for k in new.tolist()])
         n_docs = len(offs) - 1
-        sizes = np.bincount(doc, count, n_docs).astype(np.int64) + 1
-        total = int(count.sum())
-        source = np.repeat(self.at[slot] - (np.cumsum(count) - count), count) + np.arange(total)
-        out = np.full(total + n_docs, END_ID, self.kind)
-        out[np.arange(total) + np.repeat(doc, count)] = self.ids[source]
-        return out, sizes
+        slot = np.zeros(len(starts) + n_docs, np.int64)  # a document's pieces, then its end
+        slot[np.arange(len(starts)) + doc] = known[coded.indices.to_numpy()]
+        count = self.count[slot]
+        edges = np.concatenate([[0], np.cumsum(count)])
+        source = np.repeat(self.at[slot] - edges[:-1], count) + np.arange(edges[-1])
+        last = np.searchsorted(doc, np.arange(n_docs), "right") + np.arange(1, n_docs + 1)
+        return self.ids[source], np.diff(edges[last], prepend=0)
 
 
 _loaded: dict[str, PieceIds] = {}
@@ -153,7 +144,7 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
         model = _loaded[tokenizer]
         for batch in batches:
             data, offs = string_buffer(batch.column(1))
-            for i, j in passes(offs, 1 << 19):
+            for i, j in passes(offs, 1 << 22):
                 ids, sizes = model.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 ends = np.cumsum(sizes)
                 edges = np.concatenate([[0], ends * ids.itemsize]).astype(np.int32)
