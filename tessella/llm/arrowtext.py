@@ -10,12 +10,6 @@ import pyarrow as pa
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for every byte, and the odd base of the prefix hashes.
-BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_rng.integers(1 << 61, 1 << 63, dtype=np.uint64)) | 5
-BASE_INV = pow(BASE, -1, 1 << 64)
-
 #: The ASCII white space that separates words: space, \t, \n, \v, \f, \r.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,48 +73,6 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(body)])
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            out = []
-            for base in (BASE, BASE_INV):
-                p = np.full(size, np.uint64(base), np.uint64)
-                p[0] = 1
-                out.append(np.multiply.accumulate(p))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
-class Prefix:
-    """Hashes of any span of a code sequence in constant time."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        up, self.down = _powers.upto(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[:-1], out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """One hash for every [start, end): equal sequences have equal hashes."""
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-    def fixed(self, width: int) -> np.ndarray:
-        """The hash of every span of this width."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
-
-
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its len + 1 offsets; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -167,5 +119,4 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    codes = (BYTE_CODE[LOWER] if lower else BYTE_CODE)[data]
-    return Prefix(codes).spans(starts, ends)
+    return span_hashes(LOWER[data] if lower else data, starts, ends)

@@ -1,19 +1,21 @@
-"""Line dedup over levelled sorted runs of line hashes."""
+"""Line dedup over levelled sorted runs of line hashes, which every batch merge-anti-joins."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.arrowtext import BYTE_CODE, IS_SPACE, LOWER, Prefix, passes, string_buffer
+from tessella.llm.arrowtext import IS_SPACE, LOWER, passes, span_hashes, string_buffer
 from tessella.llm.staging import new_path, stage
 
 
-def line_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line: its document, start and end, and its key's hash (0 where the key is empty).
+def line_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line: its document, start and end, and both halves of its key's 128-bit hash (0, 0 where the key is empty).
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased.
     """
@@ -36,81 +38,112 @@ def line_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     a = np.minimum(after[starts], ends)
     b = np.where(ends > 0, before[np.maximum(ends - 1, 0)], -1) + 1
     b = np.maximum(np.where(ends > starts, b, a), a)
-    key = Prefix(BYTE_CODE[LOWER][data]).spans(a, b)
-    return doc, starts, ends, np.where(b > a, key | np.uint64(1 << 63), np.uint64(0))
+    low = LOWER[data]
+    k1, k2 = (np.where(b > a, span_hashes(low, a, b, seed), np.uint64(0)) for seed in (1, 2))
+    return doc, starts, ends, k1, np.where(b > a, k2 | np.uint64(1), k2)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): the distinct hashes of the lines with a key in each whole text."""
+    """(doc_id, k1, k2): both halves of the distinct hashes of the lines with a key in each whole text."""
 
     def run(batches):
         for batch in batches:
             data, offs = string_buffer(batch.column(1))
             for i, j in passes(offs):
-                doc, _, _, key = line_keys(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                doc, key = doc[key != 0], key[key != 0]
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
+                doc, _, _, k1, k2 = line_keys(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                doc, k1, k2 = (x[k2 != 0] for x in (doc, k1, k2))
+                order = np.lexsort((k2, k1, doc))
+                doc, k1, k2 = doc[order], k1[order], k2[order]
                 first = np.ones(len(doc), bool)
-                first[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-                doc, key = doc[first], key[first]
-                edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), keys], names=["doc_id", "keys"])
+                first[1:] = (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+                edges = pa.array(np.searchsorted(doc[first], np.arange(j - i + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(k[first].view(np.int64))) for k in (k1, k2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "k1", "k2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 array<long>, k2 array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>")
+def each_line(lines: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2): a row for each line key of each document."""
+    return lines.select("doc_id", F.explode(F.arrays_zip("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
 
 
 class LineRuns:
-    """Levels of runs (key, docs) sorted by key, each a Parquet table that is written once.
+    """Levels of runs (k1, k2, docs): a key stands in one run only, that of the batch that brought it first.
 
-    A batch adds a run to level 0; ``fanout`` runs of a level are merged into one of the next, so a key is
-    rewritten a logarithmic number of times and lookups merge few runs.
+    A run is a table bucketed and sorted by key, written once.  A batch is dealt and sorted by key once, merge-anti-joins the runs
+    of all levels without moving them, and what is left, the keys that no run holds, becomes a run of level 0.  ``fanout`` runs of
+    a level are merged into one of the next, a plain union, as their keys differ: a key is rewritten a logarithmic number of
+    times and a batch meets few runs.  What later batches bring of keys that a run holds is kept aside as increments (k1, k2, docs).
     """
 
+    KEY = ("k1", "k2")
+
     def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
         self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.more: list[DataFrame] = []
 
     def _write(self, keys: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"run-{level}")
-        keys.select("key", "docs").sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = keys.select(*self.KEY, "docs").repartition(self.buckets, *self.KEY)
+        to = dealt.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("compression", "zstd")
+        to.option("path", new_path(self.spark, f"run-{level}")).format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key long, docs long").parquet(*paths) if paths else self.spark.createDataFrame([], "key long, docs long")
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """Merge-anti-join: the rows of a batch whose key no run holds."""
+        for level in self.levels:
+            for name in level:
+                keys = keys.join(self.spark.table(name).select(*self.KEY), [*self.KEY], "left_anti")
+        return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch: one row per document and key (key)."""
-        self._write(keys.groupBy("key").agg(F.count("*").alias("docs")), 0)
+        """Add a batch: one row per document and key (k1, k2)."""
+        batch = stage(keys.groupBy(*self.KEY).agg(F.count("*").alias("docs")), "batch")
+        new = stage(self.unseen(batch), "unseen") if any(self.levels) else batch
+        if any(self.levels):
+            self.more.append(stage(batch.join(new.select(*self.KEY), [*self.KEY], "left_anti"), "increments"))
+        self._write(new, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._write(self._read(merged).groupBy("key").agg(F.sum("docs").alias("docs")), level + 1)
+            self._write(self.first(merged), level + 1)
+            for name in merged:
+                self.spark.sql(f"DROP TABLE {name}")
             level += 1
 
-    def counts(self) -> DataFrame:
-        """(key, docs) over all runs."""
-        return self._read([p for level in self.levels for p in level]).groupBy("key").agg(F.sum("docs").alias("docs"))
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Merge-anti-join: the rows of a batch whose key no run holds."""
-        return keys.join(self._read([p for level in self.levels for p in level]).select("key").distinct(), "key", "left_anti")
-
-
-def drop_lines(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the lines whose key is listed in ``keys`` (doc_id, drop array<long>; one row per doc_id).
-
-    All columns stay; ``text`` holds the lines kept, joined by line feeds, and ``n_lines`` and ``n_dropped`` are
-    added.  Null texts stay null and count as one empty line;
-    columns of those two names in ``docs`` are replaced.
+    def first(self, names: list[str] | None = None) -> DataFrame:
+        """(k1, k2, docs) of the runs: each key with the documents of the batch that brought it."""
+        runs = [self.spark.table(n).select(*self.KEY, "docs") for n in (names if names is not None else [n for level in self.levels for n in level])]
+        out = runs[0] if runs else self.spark.createDataFrame([], "k1 long, k2 long, docs long")
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out
+
+    def common(self, least: int) -> DataFrame:
+        """(k1, k2) of the keys that at least ``least`` documents of all batches hold."""
+        rows, more = self.first(), None
+        for m in self.more:
+            more = m if more is None else more.unionByName(m)
+        if more is not None:
+            more = more.groupBy(*self.KEY).agg(F.sum("docs").alias("later"))
+            rows = rows.join(more, [*self.KEY], "left").withColumn("docs", F.col("docs") + F.coalesce("later", F.lit(0)))
+        return rows.where(F.col("docs") >= least).select(*self.KEY)
+
+
+def drop_lines(docs: DataFrame, keys: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` without the lines whose key is listed in ``keys`` (doc_id, drop array<long> of second halves; one row per doc_id).
+
+    All columns stay; ``text`` holds the lines kept, joined by line feeds, and the columns ``counts``, number of lines and of those
+    dropped, are added, in place of any of these names.  Null texts stay null and count as one empty line.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    keys = keys.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    names = docs.columns
+    names = [c for c in docs.columns if c not in counts]
+    own = [F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(names)]  # no name of the caller's can clash
+    rows = docs.alias("d").join(keys.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left").select(*own, F.col("k.drop").alias("drop"))
     at, width = names.index("text"), len(names)
 
     def run(batches):
@@ -121,7 +154,7 @@ def drop_lines(docs: DataFrame, keys: DataFrame) -> DataFrame:
             valid = ~np.asarray(drop.is_null())
             for i, j in passes(offs):
                 part = data[offs[i] : offs[j]]
-                doc, starts, ends, key = line_keys(part, offs[i : j + 1] - offs[i])
+                doc, starts, ends, _, key = line_keys(part, offs[i : j + 1] - offs[i])
                 gone = np.zeros(len(doc), bool)
                 for d in np.flatnonzero(valid[i:j]):
                     a, b = np.searchsorted(doc, [d, d + 1])
@@ -137,25 +170,28 @@ def drop_lines(docs: DataFrame, keys: DataFrame) -> DataFrame:
                         out[d] = b"\n".join([raw[starts[x] : ends[x]] for x in stay]).decode("utf-8", "replace")
                     texts = pa.array(out, texts.type)
                 cols = [texts if c == at else batch.column(c).slice(i, j - i) for c in range(width)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines), pa.array(n_gone)], names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines), pa.array(n_gone)], names=[*names, *counts])
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in names), *(T.StructField(c, T.LongType()) for c in counts)])
     return rows.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = 10, batches: int = 3, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_docs: int = 10, batches: int = 3, fanout: int = 3, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """Drop, in every document, the lines whose key occurs in at least ``least_docs`` documents.
 
-    Documents go to the runs in ``batches`` batches.  A key's count is a partial aggregate and the join of
-    documents' keys with the common ones (staged) can be split, so one line in a third of all documents strains no task.
+    Documents go to the runs in ``batches`` batches; each anti-joins what the runs hold and adds what is new.  Keys are
+    128-bit hashes of the whole line.  A key's count is a partial aggregate and the join of documents' keys with the common ones
+    (staged) can be split, so one line in a third of all documents strains no task.  Every row is a document: rows with
+    equal ids or null ids count each and lose their own lines.  Lines without a key (white space only) stay.  Null and empty texts have
+    one empty line; an empty table gives no rows.  ``counts`` names the columns that are added.  Batches run as this is called.
     """
     lines = stage(document_lines(docs), "lines")
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b).select(F.explode("keys").alias("key")))
-    common = stage(runs.counts().where(F.col("docs") >= least_docs).select("key"), "common")
-    hits = lines.select("doc_id", F.explode("keys").alias("key")).join(common, "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    return drop_lines(docs, hits)
+        runs.add(each_line(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)).select("k1", "k2"))
+    common = stage(runs.common(least_docs), "common")
+    hits = each_line(lines).join(common, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("k2").alias("drop"))
+    return drop_lines(docs, hits, counts)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import Prefix, mix, passes, string_buffer, word_hashes, word_spans
+from tessella.llm.arrowtext import chain, mix, passes, string_buffer, word_hashes, word_spans
 from tessella.llm.components import components, contracted
+from tessella.llm.packing import prefix_sums
 from tessella.llm.staging import stage
 
-#: Prefix lengths of a tree's order at which regions are formed.
-DEPTHS = (2, 4, 6)
+#: Minima in a tree's signature, and how many of them neighbours share at least.
+DEPTH, LEAST_DEPTH = 6, 2
 #: Documents of a region that are all paired with each other; a larger one is crowded and goes deeper.
 SMALL_REGION = 16
+#: Rows of a tree's order that one task holds about.
+ORDER_ROWS = 250_000
 #: Ids that may be broadcast to filter texts (8 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
 
@@ -26,14 +29,18 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.nda
     without words has none.
     """
     starts, ends, doc = word_spans(data, offs)
-    seq = Prefix(word_hashes(data, starts, ends, lower=True))
+    word = word_hashes(data, starts, ends, lower=True)
     count = np.bincount(doc, minlength=len(offs) - 1)
     first = np.cumsum(count) - count
-    short = (count > 0) & (count < words)
-    i = np.flatnonzero(np.arange(len(doc)) + words <= (first + count)[doc])
-    begin = np.concatenate([i, first[short]])
-    s = seq.spans(begin, np.concatenate([i + words, (first + count)[short]]))
-    d = doc[begin]
+    hashes, owners = [], []
+    for n in range(1, words + 1):
+        begin = first[count == n] if n < words else np.flatnonzero(np.arange(len(doc)) + words <= (first + count)[doc])
+        h = np.full(len(begin), n, np.uint64)
+        for k in range(n):
+            h = chain(h, word[begin + k])
+        hashes.append(h)
+        owners.append(doc[begin])
+    s, d = np.concatenate(hashes), np.concatenate(owners)
     order = np.lexsort((s, d))
     s, d = s[order], d[order]
     new = np.ones(len(s), bool)
@@ -47,10 +54,9 @@ def _factors(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, trees: int) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, k2, k4, k6): set size, set fingerprint and, for every tree, the key of
-    its first 2, 4 and 6 minima.  Documents with empty sets have no keys."""
-    deep = DEPTHS[-1]
-    factors = _factors(trees * deep)
+    """(doc_id, n_shingles, fp1, fp2, sigs): set size, set fingerprint and, for every tree, its DEPTH minima, four bytes each,
+    big-endian.  Documents with empty sets have no signatures."""
+    factors = _factors(trees * DEPTH)
 
     def run(batches):
         for batch in batches:
@@ -60,49 +66,118 @@ def signatures(docs: DataFrame, words: int, trees: int) -> DataFrame:
                 n = np.diff(edges)
                 some = np.flatnonzero(n)
                 fp = np.zeros((2, j - i), np.uint64)
-                keys = np.zeros((len(DEPTHS), len(some), trees), np.uint64)
+                sigs = np.zeros((len(some), trees * DEPTH), ">u4")
                 if len(some):
                     at = edges[:-1][some]
                     for f in range(2):
                         fp[f, some] = np.add.reduceat(mix(s + np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (2**64 - 1))), at)
-                    for t in range(trees):
-                        key = np.full(len(some), t + 1, np.uint64)
-                        for k in range(deep):
-                            key = mix(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(s * factors[t * deep + k], at))
-                            if k + 1 in DEPTHS:
-                                keys[DEPTHS.index(k + 1), :, t] = key
+                    for k, factor in enumerate(factors):
+                        sigs[:, k] = mix(np.minimum.reduceat(s * factor, at)) >> np.uint64(32)
                 lists = np.concatenate([[0], np.cumsum((n > 0) * trees)]).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(pa.array(lists), pa.array(keys[k].reshape(-1).view(np.int64))) for k in range(len(DEPTHS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(f.view(np.int64)) for f in fp), *cols], names=["doc_id", "n_shingles", "fp1", "fp2", *(f"k{d}" for d in DEPTHS)])
+                width = pa.array(np.arange(len(some) * trees + 1, dtype=np.int32) * (4 * DEPTH))
+                flat = pa.Array.from_buffers(pa.binary(), len(some) * trees, [None, width.buffers()[1], pa.py_buffer(sigs.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(f.view(np.int64)) for f in fp), pa.ListArray.from_arrays(pa.array(lists), flat)], names=["doc_id", "n_shingles", "fp1", "fp2", "sigs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"k{d} array<long>" for d in DEPTHS))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sigs array<binary>")
+
+
+def neighbours(tree: np.ndarray, sig: np.ndarray, small: int = SMALL_REGION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in the order of (tree, signature): the places i < j of pairs of neighbours, and which rows lie in a crowded region.
+
+    A region is a run of rows whose adjacent rows have a common prefix of some depth.  From LEAST_DEPTH on, a region of up
+    to ``small`` rows is paired completely, a larger one is crowded and divided again one minimum deeper, so the depth follows
+    each region.  In crowded regions every row also meets its longest-common-prefix neighbour on either side.
+    """
+    n = len(tree)
+    same = np.cumprod(np.concatenate([(tree[1:] == tree[:-1])[:, None], sig[1:] == sig[:-1]], axis=1), axis=1)
+    common = same.sum(1) - 1  # depth that row i shares with row i + 1; -1 across trees
+    lo, hi = [], []
+    live = crowded = np.ones(n, bool)
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        region = np.concatenate([[0], np.cumsum(common < depth)])
+        size = np.bincount(region)[region]
+        whole = live & (size > 1) & (size <= small)
+        for step in range(1, small):
+            i = np.flatnonzero(whole[: max(0, n - step)])
+            i = i[region[i] == region[i + step]]
+            if not len(i):
+                break
+            lo.append(i)
+            hi.append(i + step)
+        live = live & (size > small)
+        if depth == LEAST_DEPTH:
+            crowded = live
+            i = np.flatnonzero(live[:-1] & (region[:-1] == region[1:]))
+            lo.append(i)
+            hi.append(i + 1)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *lo]), np.concatenate([none, *hi]), crowded
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lo, hi, votes): pairs of documents that are neighbours in some region of some tree; (doc_id): those of crowded regions.
+    """(lo, hi, votes): pairs of documents that are neighbours in some tree's order; (doc_id): those of crowded regions.
 
-    A region is the documents with a common prefix in a tree's order.  All documents of a small region are paired with
-    each other, so it needs no further division.  Those of a crowded one are paired with its first and its last in an
-    order by a hash of document and region, and it is divided again at the next depth; pairs grow with documents and
-    never with the square of a region.  That leaves pairs of a crowded region out; ``rare_pairs`` finds them.  Regions are staged before documents join them, so that a join can be split
-    where one region holds a large part of all documents.
+    The rows of all trees are sorted by signature in ranges that Spark balances, so a region of any size is spread over tasks.  Each
+    task pairs neighbours batch by batch, with the last rows of the batch before; the first and last rows of the ranges are kept
+    and meet those of the next range, so that a region across an edge is seen as one.  Pairs grow with documents, never with
+    the square of a region.  Pairs of a crowded region that this leaves out are found by ``rare_pairs``.
     """
-    rows = reps.select("doc_id", F.explode(F.arrays_zip(*(f"k{d}" for d in DEPTHS))).alias("k")).select("doc_id", "k.*")
-    found = crowded = None
-    for level, d in enumerate(DEPTHS):
-        key, deeper = f"k{d}", [f"k{e}" for e in DEPTHS[level + 1 :]]
-        ends = [F.expr(f"{f}(struct(xxhash64(doc_id, {key}) AS rank, doc_id)).doc_id").alias(f) for f in ("min", "max")]
-        region = stage(rows.groupBy(key).agg(*ends, F.count("*").alias("n")).where("n > 1"), f"region-{d}")
-        rows = stage(rows.join(region, key).select("doc_id", key, F.array("min", "max").alias("ends"), "n", *deeper), f"neighbours-{d}")
-        whole = rows.where(F.col("n") <= SMALL_REGION).groupBy(key).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-        pairs = whole.select("ids", F.posexplode("ids").alias("at", "lo")).select("lo", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("hi"))
-        rows = rows.where(F.col("n") > SMALL_REGION)
-        hubs = rows.select("doc_id", F.explode("ends").alias("end")).select(F.least("doc_id", "end").alias("lo"), F.greatest("doc_id", "end").alias("hi"))
-        pairs = pairs.unionByName(hubs)
-        found = pairs if found is None else found.unionByName(pairs)
-        crowded = rows.select("doc_id").distinct() if crowded is None else crowded
-        rows = rows.select("doc_id", *deeper)
-    return found.where("lo < hi").groupBy("lo", "hi").agg(F.count("*").alias("votes")), crowded
+    rows = reps.select("doc_id", F.posexplode("sigs").alias("tree", "sig"))
+    n = rows.count()
+    order = ["tree", "sig", F.xxhash64("doc_id"), "doc_id"]
+    least = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(max(least, -(-n // ORDER_ROWS)), *order).sortWithinPartitions(*order)
+    shape = "kind string, lo long, hi long, shard long, at long, tree int, sig binary"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def found(ids, tree, sig) -> pa.RecordBatch:
+        i, j, crowded = neighbours(tree, sig)
+        lo, hi, alone = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.unique(ids[crowded])
+        kind = np.repeat(np.array(["pair", "crowded"], object), [len(lo), len(alone)])
+        cols = [pa.array(kind, types[0]), pa.array(np.concatenate([lo, alone])), pa.array(np.concatenate([hi, alone])), *(pa.nulls(len(kind), t) for t in types[3:])]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        return string_buffer(col)[0].view(">u4").reshape(-1, DEPTH).astype(np.uint32)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        shard, total, head, tail = TaskContext.get().partitionId(), 0, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))]
+            yield found(*own)
+            if tail is not None:
+                yield found(*(np.concatenate([a, b[:SMALL_REGION]]) for a, b in zip(tail, own, strict=True)))
+            if head is None or len(head[0]) < SMALL_REGION:
+                head = [x[:SMALL_REGION] for x in own] if head is None else [np.concatenate([a, b])[:SMALL_REGION] for a, b in zip(head, own, strict=True)]
+            tail = [x[-SMALL_REGION:] for x in (own if tail is None else [np.concatenate([a, b]) for a, b in zip(tail, own, strict=True)])]
+            total += batch.num_rows
+        if total:  # negative places count from the range's end; a range of few rows is an edge as a whole
+            few = max(0, total - len(head[0]))
+            edge = [np.concatenate([a, b[max(0, len(b) - few) :]]) for a, b in zip(head, tail, strict=True)]
+            at = np.concatenate([np.arange(len(head[0])), np.arange(-min(few, len(tail[0])), 0)])
+            k = len(at)
+            cols = [["edge"] * k, edge[0], [total] * k, [shard] * k, at, edge[1], [x.astype(">u4").tobytes() for x in edge[2]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    met = stage(sorted_.mapInArrow(run, shape), "neighbours", by=["kind"])
+    edges = met.where("kind = 'edge'").withColumn("whole", F.col("hi") >= 2 * SMALL_REGION)
+    before = stage(prefix_sums(edges.groupBy("shard").agg(F.max(F.col("whole").cast("long")).alias("n"))), "edges")
+    edges = edges.join(before, "shard").withColumn("gap", F.col("base") + F.when(F.col("whole") & (F.col("at") < 0), 1).otherwise(0))
+
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("shard", "ascending"), ("later", "ascending"), ("at", "ascending")]).combine_chunks()
+        sig = table.column("sig").combine_chunks()
+        return pa.Table.from_batches([found(table.column("lo").to_numpy(), table.column("tree").to_numpy(), matrix(sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig)).select(["kind", "lo", "hi"])])
+
+    joined = edges.select("gap", "shard", (F.col("at") < 0).cast("int").alias("later"), "at", "lo", "tree", "sig").groupBy("gap").applyInArrow(across, "kind string, lo long, hi long")
+    every = met.where("kind <> 'edge'").select("kind", "lo", "hi").unionByName(stage(joined, "across"))
+    pairs = every.where("kind = 'pair' AND lo < hi").groupBy("lo", "hi").agg(F.count("*").alias("votes"))
+    return pairs, every.where("kind = 'crowded'").select(F.col("lo").alias("doc_id")).distinct()
 
 
 def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) -> DataFrame:
@@ -176,9 +251,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     Documents with equal sets (128-bit fingerprints) are one member of the forest, however many they are.  Every
     candidate pair is confirmed on whole texts unless earlier links already connect it: first each document with
     the partner that most regions name, then all pairs that these links haven't been seen to connect, then all pairs of
-    documents of crowded regions that an exact prefix filter finds in different groups.  A pair of similarity 0.8 is
-    missed by all 16 trees at depth 2 with probability 0.36^16 = 8e-8.  Null and empty texts are linked with
-    nothing.  ``doc_id`` identifies documents; an empty table gives no rows.
+    documents of crowded regions that an exact prefix filter finds in different groups.  So a pair is compared wherever it shares
+    a region of any tree, and only one that shares none is missed: at similarity 0.8 with probability 0.36^16 = 8e-8.  Null
+    and empty texts are linked with nothing, and so are rows without doc_id, which otherwise identifies documents; an empty
+    table gives no rows.  Jobs run as this is called.
     """
     sigs = stage(signatures(docs, words, trees), "signatures")
     sets = stage(sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "sets")

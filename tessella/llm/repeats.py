@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import BYTE_CODE, Prefix, mix, passes, string_buffer, word_hashes, word_spans
+from tessella.llm.arrowtext import chain, mix, passes, span_hashes, string_buffer, word_hashes, word_spans
 from tessella.llm.staging import stage
 
 #: Text of one bucket's keys, and the least and most buckets.
@@ -31,8 +31,9 @@ U = np.uint64
 
 
 #: Bytes sent of a record's columns: of a span its anchor (after the bucket's bits), its hash, both sides, its document
-#: (from the chunk's smallest); of a window its hash and document.
-SPAN, WINDOW = (3, 6, 1, 1, 8), (7, 8)
+#: (from the chunk's smallest); of a window its hash, its anchor's and its document.  Two spans are held to be equal by 95 bits or
+#: more, two windows by 87 or more, 63 or more of them their own even where the anchors are the same.
+SPAN, WINDOW = (3, 8, 1, 1, 8), (7, 3, 8)
 
 
 def _squeeze(arrays: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
@@ -94,16 +95,31 @@ class Tokens:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, kind: str) -> None:
         if kind == "bytes":
-            self.codes, self.offs = BYTE_CODE[data], offs
-            valley = np.zeros(len(data), bool)
-            valley[:-2] = (data[:-2] > data[1:-1]) & (data[1:-1] < data[2:])
-            self.first = valley
+            self.codes, self.offs, self.raw, self.unit = data, offs, data, 1
+            self.first = np.zeros(len(data), bool)
+            self.first[:-2] = (data[:-2] > data[1:-1]) & (data[1:-1] < data[2:])
         else:
             starts, ends, doc = word_spans(data, offs)
             self.codes = word_hashes(data, starts, ends)
             self.offs = np.searchsorted(doc, np.arange(len(offs)))
-            self.first = None
-        self.prefix = Prefix(self.codes)
+            self.first, self.raw, self.unit = None, self.codes.view(np.uint8), 8
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the tokens in [start, end)."""
+        return span_hashes(self.raw, start * self.unit, end * self.unit)
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hashes of all runs of k tokens."""
+        n = len(self.codes) - k + 1
+        if self.unit == 1 and k % 8 == 0:
+            eight = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+            parts = [eight[j : j + n] for j in range(0, k, 8)]
+        else:
+            parts = [self.codes[j : j + n] for j in range(k)]
+        h = np.full(n, k, U)
+        for x in parts:
+            h = chain(h, x.astype(U))
+        return h
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offs, at, "right") - 1
@@ -121,7 +137,7 @@ def anchors(t: Tokens, k: int, width: int) -> dict[str, np.ndarray]:
     n = len(t.codes)
     if n < width:
         return out
-    gram = t.prefix.fixed(k)
+    gram = t.grams(k)
     rank = mix(gram ^ U(0x2545F4914F6CDD1D)) >> U(33)
     if t.first is not None:
         rank |= (~t.first[: len(rank)]).astype(U) << U(31)
@@ -145,8 +161,8 @@ def anchors(t: Tokens, k: int, width: int) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     s, e, q = i[first], i[np.append(first[1:], len(i)) - 1], q[first]
     half = -(-(width - k) // 2)
-    side = lambda ok, a, b: np.where(ok, np.maximum(t.prefix.spans(np.where(ok, a, 0), np.where(ok, b, 0)) >> U(56), U(1)), U(0))
-    c = mix(t.prefix.spans(s, e + width) + (q - s).astype(U) * U(0xA24BAED4963EE407))
+    side = lambda ok, a, b: np.where(ok, np.maximum(t.spans(np.where(ok, a, 0), np.where(ok, b, 0)) >> U(56), U(1)), U(0))
+    c = mix(t.spans(s, e + width) + (q - s).astype(U) * U(0xA24BAED4963EE407))
     return {"doc": t.doc(s), "s": s, "e": e, "a": gram[q], "c": c, "l": side(q - half >= s, q - half, q), "r": side(q + k + half <= e + width, q + k, q + k + half)}
 
 
@@ -225,11 +241,10 @@ def _ranges(s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def _windows(t: Tokens, at: np.ndarray, a: np.ndarray, width: int, ids: np.ndarray):
     """Distinct keys of the windows at ``at`` with the smallest document, and each window's key."""
-    w = t.prefix.spans(at, at + width)
+    w = t.spans(at, at + width)
     doc = ids[t.doc(at)]
-    key = (w << U(24)) ^ (mix(a) >> U(40))
-    owner, group = _distinct([w, key], doc)
-    return w[owner], key[owner], doc[owner], group, doc
+    owner, group = _distinct([w, a], doc)
+    return w[owner], a[owner], doc[owner], group, doc
 
 
 def _covered(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -350,9 +365,9 @@ def remove_repeats(docs: DataFrame, kind: str, width: int = 50, keep_text: bool
     def send_windows(batches):
         for batch in batches:
             for chunk, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, _, _, _, _, (w, key, smallest, _, _) = windows(parts)
+                ids, _, _, _, _, (w, a, smallest, _, _) = windows(parts)
                 base = int(ids.min())
-                yield _send(chunk, w, bits, base, [key, smallest - base], WINDOW)
+                yield _send(chunk, w, bits, base, [w, a, smallest - base], WINDOW)
 
     replies = pending.mapInArrow(send_windows, KEYS).groupBy("bucket").applyInArrow(lambda t: _answer(t, WINDOW, _settle_windows), REPLY)
     told = pending.join(gathered(replies), "chunk", "left")

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.arrowtext import BYTE_CODE, LOWER, Prefix, passes, string_buffer, word_spans
+from tessella.llm.arrowtext import LOWER, chain, passes, span_hashes, string_buffer
 from tessella.llm.staging import stage
 
-#: Labelled documents that the model is fitted on at most, and features that it may hold.
-TRAIN_ROWS, MOST_FEATURES = 20_000, 50_000
-#: A word's features: its prefixes of so many bytes, A-Z lower-cased (punctuation behind a word is no hindrance).
-PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
-#: Pseudo documents of the Dirichlet prior for each labelled one, what a word without evidence costs a passage, and standard errors that
+#: Labelled documents that the model is fitted on at most.
+TRAIN_ROWS = 20_000
+#: Training documents that a feature needs: toxic ones to count for toxicity, others to count against it.
+LEAST_TOXIC, LEAST_CLEAN = 2, 20
+#: Pseudo documents of the Dirichlet prior for each labelled one, what a token without evidence costs a passage, and standard errors that
 #: a log-odds is lowered by.
-PRIOR, COST, CAUTION = 1.0, 0.05, 1.0
+PRIOR, COST, CAUTION = 1.0, 0.05, 2.5
+
+_byte = np.arange(256)
+#: Bytes of tokens: ASCII letters and digits and all of other characters; those that begin a character of three or four bytes.
+_INSIDE = (_byte >= 128) | (_byte >= 48) & (_byte < 58) | (_byte >= 65) & (_byte < 91) | (_byte >= 97) & (_byte < 123)
+_WIDE = _byte >= 0xE0
 
 
 class Words:
-    """Words of a batch and the hashes of their prefixes, the longest last."""
+    """Tokens of a batch, A-Z lower-cased: each run of letters and digits, whatever its length, and each character of the scripts
+    that UTF-8 gives three or four bytes, many of which put no space between words.  White space and ASCII punctuation separate."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
-        self.starts, self.ends, self.doc = word_spans(data, offs)
-        self.prefix = Prefix(BYTE_CODE[LOWER][data])
+        n = len(data)
+        inside, first = np.zeros(n + 2, bool), np.zeros(n + 1, bool)
+        inside[1 : n + 1] = _INSIDE[data]
+        first[offs] = True
+        wide = np.flatnonzero(_WIDE[data])
+        first[wide] = True
+        ends = wide + np.where(data[wide] >= 0xF0, 4, 3)
+        first[np.minimum(ends, n)] = True
+        self.starts = np.flatnonzero(inside[1:] & (first | ~inside[:-1]))
+        self.ends = np.flatnonzero(inside[:-1] & (first | ~inside[1:]))
+        self.doc = np.searchsorted(offs, self.starts, "right") - 1
+        self.hash = span_hashes(LOWER[data], self.starts, self.ends)
         self.count = np.bincount(self.doc, minlength=len(offs) - 1)
 
     def features(self):
-        """(words, hash) for each prefix length."""
-        for n in PREFIXES:
-            at = np.flatnonzero(self.ends - self.starts >= n)
-            yield at, self.prefix.spans(self.starts[at], self.starts[at] + n)
+        """(tokens, hash): every token, and every one together with the token before it in the same document."""
+        yield np.arange(len(self.doc)), self.hash
+        at = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        yield at, chain(self.hash[at - 1], self.hash[at])
 
 
 class Lookup:
@@ -78,49 +94,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.asarray(self.logit) @ evidence, -30, 30)))
 
 
-def segments(at: list[int], weight: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last) of a sequence with these positive scores at ``at`` and -COST
-    everywhere else, in linear time: each new segment is merged with the last one that begins lower and ends lower."""
+def segments(at: list[int], low: list[float], high: list[float]) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last) of a sequence of scores, in linear time.
+
+    ``at`` lists the places of positive scores, ``low`` and ``high`` the sums of all scores before and after each.  Each new
+    segment is merged with the last one that begins lower and ends lower.
+    """
     out: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
     link: list[int] = []
-    total, last = 0.0, -1
-    for p, w in zip(at, weight, strict=True):
-        total -= COST * (p - last - 1)
-        last = p
-        low, high, first = total, total + w, p
-        total = high
+    for p, before, total in zip(at, low, high, strict=True):
+        start, first = before, p
         while True:
             j = len(out) - 1
-            while j >= 0 and out[j][0] >= low:
+            while j >= 0 and out[j][0] >= start:
                 j = link[j]
-            if j < 0 or out[j][1] >= high:
-                out.append((low, high, first, p))
+            if j < 0 or out[j][1] >= total:
+                out.append((start, total, first, p))
                 link.append(j)
                 break
-            low, first = out[j][0], out[j][2]
+            start, first = out[j][0], out[j][2]
             del out[j:], link[j:]
-    return [(high - low, a, b) for low, high, a, b in out]
+    return [(total - start, a, b) for start, total, a, b in out]
 
 
-def _hits(words: Words, model: Model, lookup: Lookup) -> np.ndarray:
-    """Each word's weight: that of its longest prefix with evidence, else 0."""
+def _weights(words: Words, model: Model, lookup: Lookup) -> np.ndarray:
+    """Each token's score: of its own log-odds and those with the token before, the one further from 0; -COST without evidence."""
     weight = np.zeros(len(words.doc))
     for at, h in words.features():
         some, where = lookup.find(h)
-        weight[at[some]] = model.weights[where]
-    return weight
+        new, own = model.weights[where], at[some]
+        weight[own] = np.where(np.abs(new) > np.abs(weight[own]), new, weight[own])
+    return np.where(weight > 0, weight, np.minimum(weight, -COST))
 
 
 def _passages(batches, model: Model, text: int):
-    """(batch, i, j, words, weights, hits' edges by document) for runs of documents."""
+    """(batch, i, j, words, scores, segments of each document) for runs of documents; segments count tokens from the document's first."""
     lookup = Lookup(model.keys)
     for batch in batches:
         data, offs = string_buffer(batch.column(text))
         for i, j in passes(offs):
             words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            weight = _hits(words, model, lookup)
+            weight = _weights(words, model, lookup)
+            high = np.cumsum(weight)
             hit = np.flatnonzero(weight > 0)
-            yield batch, i, j, words, hit, weight[hit], np.searchsorted(words.doc[hit], np.arange(j - i + 1))
+            low, first = (high[hit] - weight[hit]).tolist(), np.cumsum(words.count) - words.count
+            edges, at, high = np.searchsorted(words.doc[hit], np.arange(j - i + 1)).tolist(), (hit - first[words.doc[hit]]).tolist(), high[hit].tolist()
+            yield batch, i, j, words, weight, [segments(at[a:b], low[a:b], high[a:b]) if b > a else [] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def training_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -187,11 +206,12 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit a model on at most ``rows`` labelled documents, with a prior from the counts of all documents.
 
-    A feature's log-odds are (y + prior * share of all documents) in odds of toxic against other documents, lowered
-    by their standard error; features with positive evidence stay.  Each half of the sample is also scored with
-    log-odds of the other half alone: there the clean documents fix the extreme-value parameters of a passage's
-    score (decay from the moment equation over word scores, K from the mean of the top scores), and all of them the
-    logistic curve.  Without toxic or without other labels every score is low.
+    A feature's log-odds are (y + prior * share of all documents) in odds of toxic against other documents, brought
+    nearer to 0 by their standard error.  Each half of the sample is also scored with log-odds of the other half alone: there
+    the clean documents fix the extreme-value parameters of a passage's score (decay from the moment equation over token
+    scores, K from the mean of the top scores), and all of them the logistic curve.  Without toxic or without other labels
+    every score is low.  Labels without a document, null labels and ids are left out; of labels of one id the highest counts.
+    Jobs run as this is called; what comes to the driver is bounded by the sample.
     """
     chosen = training_rows(labels, rows)
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("long")), "sample")
@@ -202,8 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not n1 or not n0:
         return empty
     y1, y0 = F.col("a1") + F.col("b1"), F.col("a0") + F.col("b0")
-    likely = (y1 + 0.5) / float(n1 + 1) > 2 * (y0 + 0.5) / float(n0 + 1)
-    table = _class_counts(sample).where((y1 >= 2) & likely).orderBy(y1.desc(), y0, "h").limit(MOST_FEATURES).toPandas()
+    ratio = ((y1 + 0.5) / float(n1 + 1)) / ((y0 + 0.5) / float(n0 + 1))
+    table = _class_counts(sample).where(((y1 >= LEAST_TOXIC) & (ratio > 2)) | ((y0 >= LEAST_CLEAN) & (ratio < 0.5))).toPandas()
     if not len(table):
         return empty
     table = table.assign(key=table["h"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
@@ -215,8 +235,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         size = PRIOR * (n1 + n0)
         prior = np.maximum(size * df / max(total, 1), 1e-3)
         odds = lambda y, n: np.log((y + prior) / np.maximum(n + size - y - prior, 0.5))
-        lowered = odds(y1, n1) - odds(y0, n0) - CAUTION * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        return np.where(y1 > 0, np.clip(lowered, 0, None), 0)
+        ratio = odds(y1, n1) - odds(y0, n0)
+        nearer = np.maximum(np.abs(ratio) - CAUTION * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)), 0)
+        return np.where(y1 + y0 > 0, np.sign(ratio) * nearer, 0)
 
     column = lambda c: table[c].to_numpy(float)
     model = Model(keys, weigh(column("a1") + column("b1"), column("a0") + column("b0"), n1, n0))
@@ -224,24 +245,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def found_by(m: Model):
         def run(batches):
-            for batch, i, j, words, hit, w, edges in _passages(batches, m, 1):
-                segs = [[s for s, _, _ in segments(hit[a:b].tolist(), w[a:b].tolist())] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                held = [w[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i).cast(pa.int64()), pa.array(words.count), pa.array(segs, pa.list_(pa.float64())), pa.array(held, pa.list_(pa.float64()))], names=["toxic", "n", "segments", "hits"])
+            for batch, i, j, words, weight, found in _passages(batches, m, 1):
+                toxic = batch.column(2).slice(i, j - i).cast(pa.int64())
+                scores = pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([toxic, pa.array(words.count), scores, pa.nulls(j - i, pa.float64())], names=["toxic", "n", "segments", "level"])
+                clean = (toxic.to_numpy() != 1)[words.doc]
+                level, n = np.unique(weight[clean].round(2), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.nulls(len(n), scores.type), pa.array(level)], names=["toxic", "n", "segments", "level"])
 
         return run
 
-    shape = "toxic long, n long, segments array<double>, hits array<double>"
+    shape = "toxic long, n long, segments array<double>, level double"
     parts = [sample.where(f"part = {p}").select("doc_id", "text", "toxic").mapInArrow(found_by(crossed[p]), shape) for p in (0, 1)]
-    seen = parts[0].unionByName(parts[1]).toPandas()
+    both = stage(parts[0].unionByName(parts[1]), "crossed")
+    levels = both.where("level IS NOT NULL").groupBy("level").agg(F.sum("n").alias("n")).toPandas()
+    seen = both.where("level IS NULL").select("toxic", "n", "segments").toPandas()
     y, n = seen["toxic"].to_numpy() == 1, seen["n"].to_numpy(float)
     best = np.array([max(s, default=0.0) for s in seen["segments"]])
-    words, found = n[~y].sum(), np.concatenate([np.zeros(0), *seen["hits"][~y]])
+    value, times = levels["level"].to_numpy(float), levels["n"].to_numpy(float)
     low, high = 1e-3, 20.0
-    for _ in range(60):  # decay: the mean of exp(decay * word score) over clean words is 1
+    for _ in range(60):  # decay: the mean of exp(decay * token score) over clean tokens is 1
         mid = (low + high) / 2
-        mean = (max(words - len(found), 0) * math.exp(-mid * COST) + np.exp(mid * found).sum()) / max(words, 1)
-        low, high = (mid, high) if mean < 1 else (low, mid)
+        low, high = (mid, high) if times @ np.exp(mid * value) < times.sum() else (low, mid)
     model.decay = low
     clean = ~y & (n > 0)
     model.log_k = float(np.mean(model.decay * best[clean] - np.log(n[clean])) - np.euler_gamma) if clean.any() else 0.0
@@ -250,32 +275,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), ``predicted`` and the significant passages.
+def score(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("score", "predicted", "passages")) -> DataFrame:
+    """``docs`` with a score (0 to 1), whether it is 0.5 or more, and the significant passages, in columns named ``added``.
 
-    ``passages`` lists first word, last word, first word, ... of every maximal segment that clean text of the
-    document's length would hold less than once by chance.  Null and empty texts have no passage and a low score.
-    Columns of those names are replaced.
+    Passages list first token, last token, first token, ... of every maximal segment that clean text of the document's length
+    would hold less than once by chance.  Whole texts are read.  Null and empty texts have no passage and a low score; equal
+    texts get equal scores; an empty table gives no rows.  Columns of those names are replaced.
     """
-    docs = docs.drop("score", "predicted", "passages")
+    docs = docs.drop(*added)
     names = docs.columns
     text = names.index("text")
 
     def run(batches):
-        for batch, i, j, words, hit, w, edges in _passages(batches, model, text):
+        for batch, i, j, words, _, found in _passages(batches, model, text):
             best, strong, spans = np.zeros(j - i), np.zeros(j - i), [[] for _ in range(j - i)]
-            first = np.cumsum(words.count) - words.count
-            for d in np.flatnonzero(np.diff(edges)):
-                a, b = edges[d], edges[d + 1]
-                for s, p, q in segments((hit[a:b] - first[d]).tolist(), w[a:b].tolist()):
+            for d, own in enumerate(found):
+                for s, p, q in own:
                     best[d] = max(best[d], s)
                     if (level := model.level(s, words.count[d])) > 0:
                         strong[d] += level
                         spans[d] += [p, q]
             value = model.score(model.evidence(words.count, best, strong))
-            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.int64()))], names=[*names, "score", "predicted", "passages"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.int64()))], names=[*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, predicted int, passages array<long>"])
+    kinds = (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType()))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
     return docs.mapInArrow(run, schema)
 
 

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -190,10 +190,25 @@ def test_line_dedup(docs, empty):
 def test_line_runs_compact_and_tell_new_lines(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for b in range(4):
-        runs.add(spark.createDataFrame([(k,) for k in range(b, b + 3)], "key long"))
+        runs.add(spark.createDataFrame([(k, -k) for k in range(b, b + 3)], "k1 long, k2 long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert {r["key"]: r["docs"] for r in runs.counts().collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 2, 5: 1}
-    assert [r["key"] for r in runs.unseen(spark.createDataFrame([(5,), (9,)], "key long")).collect()] == [9]
+    first = {r["k1"]: r["docs"] for r in runs.first().collect()}
+    assert first == dict.fromkeys(range(6), 1)  # each key once, in the run of the batch that brought it
+    assert sum(m.count() for m in runs.more) == 6
+    assert {r["k1"] for r in runs.common(2).collect()} == {1, 2, 3, 4} and {r["k1"] for r in runs.common(3).collect()} == {2, 3}
+    assert [r["k1"] for r in runs.unseen(spark.createDataFrame([(5, -5), (9, -9), (5, 5)], "k1 long, k2 long")).orderBy("k1", "k2").collect()] == [5, 9]
+
+
+def test_long_words_of_two_letters_do_not_collide():
+    """The Thue-Morse word and its complement, which polynomial hashes modulo a power of two can't tell apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048, 4096):
+        raw = np.frombuffer((word[:n] + other[:n]).encode(), np.uint8)
+        a, b = arrowtext.span_hashes(raw, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+        data, offs = raw, np.array([0, n, 2 * n])
+        assert len(np.unique(linededup.line_keys(data, offs)[3])) == 2 and len(np.unique(minhash.shingle_sets(data, offs, 4)[0])) == 2
 
 
 def test_near_duplicates(docs, empty):
@@ -219,10 +234,31 @@ def test_near_duplicates(docs, empty):
 
 
 def test_small_regions_are_paired_completely(spark):
-    """Nine documents with ids in a row share one region; one end of every XOR order of them was id 8."""
-    reps = spark.range(9).selectExpr("id AS doc_id", *(f"array(CAST({d} AS BIGINT)) AS k{d}" for d in minhash.DEPTHS))
-    got = {(r["lo"], r["hi"]) for r in minhash.candidates(reps)[0].collect()}
-    assert got == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+    """Nine documents with ids in a row share one region."""
+    sig = bytes(range(4 * minhash.DEPTH))
+    reps = spark.createDataFrame([(i, [sig]) for i in range(9)], "doc_id long, sigs array<binary>")
+    pairs, crowded = minhash.candidates(reps)
+    assert {(r["lo"], r["hi"]) for r in pairs.collect()} == {(a, b) for a in range(9) for b in range(a + 1, 9)} and crowded.count() == 0
+
+
+@pytest.mark.parametrize("batch,kinds", [(40, 3), (10_000, 3), (7, 6), (64, 12)])
+def test_neighbours_miss_no_shared_region(spark, batch, kinds):
+    """Regions of all sizes over many ranges and batches: documents that share one are a pair or both lie in crowded regions."""
+    r = np.random.default_rng(kinds)
+    sigs = r.integers(0, kinds, (500, 2, minhash.DEPTH)).astype(">u4")
+    reps = spark.createDataFrame([(i, [t.tobytes() for t in s]) for i, s in enumerate(sigs)], "doc_id long, sigs array<binary>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        pairs, crowded = minhash.candidates(reps)
+        pairs, crowded = {(r["lo"], r["hi"]) for r in pairs.collect()}, {r["doc_id"] for r in crowded.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    shared = {(a, b) for t in range(2) for a in range(500) for b in range(a + 1, 500) if (sigs[a, t, :2] == sigs[b, t, :2]).all()}
+    assert pairs <= shared and all((a, b) in pairs or {a, b} <= crowded for a, b in shared)
+    sizes = [Counter(map(bytes, sigs[:, t, :2])) for t in range(2)]
+    assert crowded == {i for i in range(500) if any(sizes[t][bytes(sigs[i, t, :2])] > minhash.SMALL_REGION for t in range(2))}
 
 
 def test_near_duplicates_on_one_template(spark):
@@ -327,13 +363,18 @@ def test_segments_are_maximal():
         return [*brute(x[:i]), (round(best[0], 6), i, j - 1), *[(s, a + j, b + j) for s, a, b in brute(x[j:])]]
 
     for _ in range(30):
-        x = [-toxicity.COST] * 40
-        at = sorted(rng.choice(40, 6, replace=False).tolist())
-        w = (rng.random(6) * 0.7 + 0.01).round(3).tolist()
-        for p, v in zip(at, w, strict=True):
-            x[p] = v
-        got = toxicity.segments(at, w)
-        assert sorted(round(s, 6) for s, _, _ in got) == sorted(s for s, _, _ in brute(x))
+        x = np.full(40, -toxicity.COST)
+        x[rng.choice(40, 8, replace=False)] = (rng.random(8) * 1.7 - 1).round(3)
+        at, high = np.flatnonzero(x > 0), np.cumsum(x)
+        got = toxicity.segments(at.tolist(), (high - x)[at].tolist(), high[at].tolist())
+        assert sorted(round(s, 6) for s, _, _ in got) == sorted(s for s, _, _ in brute(x.tolist()))
+
+
+def test_tokens_of_any_script_and_length():
+    raw = "I'm (an) IDIOT, you-idiot \u611a\u304b\u8005\u3060x \u00e9a! \U0001f600".encode()
+    w = toxicity.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [raw[a:b].decode() for a, b in zip(w.starts, w.ends, strict=True)] == ["I", "m", "an", "IDIOT", "you", "idiot", *"\u611a\u304b\u8005\u3060", "x", "\u00e9a", "\U0001f600"]
+    assert w.hash[3] == w.hash[5]
 
 
 def test_toxicity(spark, empty):
