@@ -16,6 +16,8 @@ from tessella.llm.staging import stage
 DEPTH, LEAST_DEPTH = 6, 2
 #: Documents of a region that are all paired with each other; a larger one is crowded and goes deeper.
 SMALL_REGION = 16
+#: Shingles of a prefix that travel with each of its rows, to tell whether a pair has met before.
+LEAD = 16
 #: Rows of a tree's order that one task holds about.
 ORDER_ROWS = 250_000
 #: Ids that may be broadcast to filter texts (8 bytes each); more are joined by shuffling.
@@ -186,7 +188,8 @@ def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) ->
     An exact prefix filter.  In one order of all shingles, rarest first, the sets x, y of a similar pair, |x| <= |y|, share one
     of the first |x| - a + 1 of x and |y| - b + 1 of y, where a = 2t / (1 + t) |x| and b = t |y| bound the overlap.  Shingles
     of one document only count for these numbers and are dropped.  Groups meet by shingle before their documents do, so a
-    large group whose members are connected makes no pairs among them.
+    large group whose members are connected makes no pairs among them.  A pair counts at the first shingle that both share (of the
+    LEAD ones before it that are kept), where its places also bound the overlap by what is left of either set.
     """
 
     def run(batches):
@@ -204,19 +207,18 @@ def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) ->
     first = first.withColumn("alone", F.col("n") - F.size("order")).withColumn("probe", F.expr(f"n - ({percent} * n + 99) DIV 100 + 1"))
     first = first.withColumn("index", F.expr(f"n - ({2 * percent} * n + {99 + percent}) DIV {100 + percent} + 1")).where("probe > alone")
     first = first.join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
-    first = first.select("doc_id", "n", "g", "alone", "index", F.posexplode(F.expr("slice(order, 1, CAST(probe - alone AS INT))")).alias("at", "s"))
-    first = stage(first.select("doc_id", "n", "g", F.col("s.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"), F.expr("alone + at < index").alias("indexed")), "prefixes")
-    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed")), "prefix-groups")
+    first = first.withColumn("lead", F.expr(f"transform(slice(order, 1, {LEAD}), s -> s.h)"))
+    first = first.select("doc_id", "n", "g", "alone", "index", "lead", F.posexplode(F.expr("slice(order, 1, CAST(probe - alone AS INT))")).alias("at", "s"))
+    first = stage(first.select("doc_id", "n", "g", F.col("s.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"), F.expr(f"slice(lead, 1, least(at, {LEAD}))").alias("before"), F.expr("alone + at < index").alias("indexed")), "prefixes")
+    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"), F.count("*").alias("docs")), "prefix-groups")
     side = lambda df, x: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "h"))
-    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"x_g < y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least")
+    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"struct(x_docs, x_g) < struct(y_docs, y_g) AND x_g <> y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least")
     met = stage(met.select("h", "x_g", "y_g"), "met")
-    half = stage(met.join(side(first, "x"), ["h", "x_g"]), "half-pairs")
+    half = stage(met.join(side(first, "x"), ["h", "x_g"]), "half-pairs")  # x is the smaller of the groups
     smaller = F.expr("struct(x_n, x_doc_id) < struct(y_n, y_doc_id)")
-    near = F.when(smaller, F.col("x_indexed")).otherwise(F.col("y_indexed")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-    pairs = half.join(side(first, "y"), ["h", "y_g"]).where(near)
-    pairs = pairs.groupBy(F.least("x_doc_id", "y_doc_id").alias("lo"), F.greatest("x_doc_id", "y_doc_id").alias("hi"))
-    pairs = pairs.agg(F.max(F.expr("least(x_n - x_at, y_n - y_at)")).alias("most"), F.first(F.expr("x_n + y_n")).alias("n"))
-    return pairs.where(f"{100 + percent} * most >= {percent} * n").select("lo", "hi")
+    near = F.when(smaller, F.col("x_indexed")).otherwise(F.col("y_indexed")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {100 + percent} * least(x_n - x_at, y_n - y_at) >= {percent} * (x_n + y_n)")
+    pairs = half.join(side(first, "y"), ["h", "y_g"]).where(near & ~F.expr("arrays_overlap(x_before, y_before)"))
+    return pairs.select(F.least("x_doc_id", "y_doc_id").alias("lo"), F.greatest("x_doc_id", "y_doc_id").alias("hi")).distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
