@@ -10,6 +10,8 @@ from tessella.llm.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of one source that one shard holds about, and the most shards that a source is dealt over.
 SHARD_WORDS, MOST_SHARDS = 1 << 17, 4096
+#: Rounds of the permutation that picks blocks.
+SWAPS = 10
 
 
 def word_count(text: Column) -> Column:
@@ -62,6 +64,19 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: st
     return rows.alias("p").join(more.alias("m"), same, "left").select("p.*", (F.col("_least") + F.coalesce("_more", F.lit(0))).alias(out)).drop("_n", "_total", "_least", "_most", "_open")
 
 
+def permuted(k: Column, n: Column, key: list[Column]) -> Column:
+    """The place of ``k`` in a pseudo-random permutation of 0 .. n - 1 that ``key`` seeds.
+
+    In every round k may change places with its mirror image about a seeded point; a hash of the larger of the two tells, so both
+    agree and each round is a permutation, whatever n is.
+    """
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.xxhash64(*key, r) - x, n)
+        return F.when(F.xxhash64(F.greatest(x, mirror), *key, -1 - r) % 2 == 0, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), k.cast("long"), swap)
+
 
 def mix(sizes: DataFrame, block_words: int = 16, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 17) -> DataFrame:
     """How many words of each document (doc_id, source, size) the mix takes, and which: all of them ``rounds`` times, and
@@ -97,8 +112,7 @@ def mix(sizes: DataFrame, block_words: int = 16, share: float = 1.5, most: float
     edge = lambda k: F.floor((F.col("shard_size") * k + F.col("blocks") - 1) / F.col("blocks"))
     first = F.floor(F.col("begin") * F.col("blocks") / F.col("shard_size"))
     last = F.floor((F.col("end") - 1) * F.col("blocks") / F.col("shard_size"))
-    turn = F.pmod(F.xxhash64(F.col("source"), F.col("shard"), F.lit(seed + 2)), F.col("blocks"))
-    chosen = lambda k: F.pmod(k * F.lit(2147483647) + turn, F.col("blocks")) < F.col("extra")  # noqa: E731  2^31 - 1 is prime and above any number of blocks
+    chosen = lambda k: permuted(k, F.col("blocks"), [F.col("source"), F.col("shard"), F.lit(seed + 2)]) < F.col("extra")
     overlap = lambda k: F.greatest(F.lit(0), F.least(F.col("end"), edge(k + 1)) - F.greatest(F.col("begin"), edge(k)))
     more = F.aggregate(F.sequence(first.cast("long") - 1, last.cast("long") + 1), F.lit(0).cast("long"), lambda acc, k: acc + F.when((k >= 0) & (k < F.col("blocks")) & chosen(k), overlap(k)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.when(F.col("extra") > 0, more).otherwise(F.lit(0))).otherwise(F.lit(0))

@@ -131,6 +131,14 @@ def test_mixed_texts_are_the_chosen_blocks(spark):
     assert any(0 < s["begin"] for r in plan for s in r["spans"][:1]) and any(r["spans"] and r["spans"][-1]["end"] == r["size"] for r in plan)
 
 
+def test_blocks_are_picked_by_a_permutation(spark):
+    for n in (1, 2, 7, 1000, 8192):
+        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit("s"), F.lit(3)]).alias("p"), mixing.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit("s"), F.lit(4)]).alias("q")).toPandas()
+        assert sorted(rows["p"]) == list(range(n)) and (n < 7 or (rows["p"] != rows["q"]).any())
+        if n >= 1000:  # neither runs nor strides: as many of the first half fall into the first half as chance lets
+            assert abs((rows["p"][: n // 2] < n // 2).mean() - 0.5) < 0.06 and len(set(np.diff(rows["p"]))) > n // 4
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     for votes, seats in (([53.0, 24.0, 23.0, 0.0], 7), ([10.0, 10.0, 10.0], 5), ([1.0, 1000.0], 3), ([5.0, 3.0, 1.0], 0), ([1e6, 3.0, 2.0], 500)):
         df = spark.createDataFrame([(1, k, v, seats) for k, v in enumerate(votes)], "g int, k int, votes double, seats long")
@@ -307,6 +315,51 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, packing.word_tokenizer()).count() == 0
 
 
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.word_tokenizer())
+    rows_ = packing.op5_packing(spark, DATA).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    want = {i: np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+    held = defaultdict(int)
+    for r in rows_:
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        held[r["doc_id"]] += r["length"]
+    assert held == {i: len(x) for i, x in want.items()}
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    """Texts that collide under polynomial hashes get their own ids, also when the memory of pieces is full."""
+    from tokenizers import Tokenizer
+
+    tk, ids = Tokenizer.from_file(packing.word_tokenizer()), packing.PieceIds(packing.word_tokenizer(), most=4)
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "it's a1 \u00e9 x. y! z", "x y \u304b z", ""]
+    for _ in range(2):
+        raw = [t.encode() for t in texts]
+        got, sizes = ids.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [[*tk.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+        assert got.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_mixing_query(spark):
+    got = mixing.op2_mixing(spark, DATA).collect()
+    docs_ = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    sizes = {i: len(WORD.findall(r["text"] or "")) for i, r in docs_.items()}
+    per, taken = Counter(), Counter()
+    for i, n in sizes.items():
+        per[docs_[i]["source"]] += n
+    for r in got:
+        assert r["size"] == sizes[r["doc_id"]] and r["source_size"] == per[docs_[r["doc_id"]]["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[docs_[r["doc_id"]]["source"]] += r["taken"]
+    names = [*sorted(k for k in per if k is not None), *[None] * (None in per)]
+    want = fill(per, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5, 2.0)
+    assert len(got) == len(docs_) and all(abs(taken[s] - want[s]) <= 32 for s in per)
+    assert all(r["target"] == pytest.approx(want[docs_[r["doc_id"]]["source"]]) for r in got)
+
+
 def test_packing_keeps_added_tokens():
     from tokenizers import Tokenizer
 
@@ -333,6 +386,45 @@ def test_telephony(spark, docs, empty):
     assert telephony.decode(media.withColumn("media", F.lit(None).cast("binary"))).first()["feature"] is None
 
 
+def test_stored_pcm_is_the_resampled_signal(spark, docs):
+    """Stored PCM read back: samples of the codes at even places, the half-band filter between them, features of the stored samples."""
+    media, path = telephony.encode(docs), new_path(spark, "pcm")
+    telephony.store_pcm(media, path)
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    for r in spark.read.parquet(path).collect():
+        tag, size, body = telephony.open_wav(files[r["doc_id"]])
+        narrow = telephony.decode_adpcm(body.reshape(-1, size)).reshape(-1) if tag == telephony.ADPCM else telephony.TABLES[tag][body]
+        pcm = np.frombuffer(r["pcm"], np.int16)
+        assert r["sample_rate"] == 16000 and (pcm[::2] == narrow).all()
+        x = np.pad(narrow.astype(int), (1, 2), "edge")
+        assert (pcm[1::2] == np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) // 16, -32768, 32767)).all()
+        wide = pcm.astype(int)
+        crossings = int((np.diff(np.signbit(pcm).astype(int)) != 0).sum())
+        assert r["feature"] == f"codec={telephony.NAMES[tag]};samples={len(pcm)};mean_square={int((wide * wide).sum()) // len(pcm)};peak={abs(wide).max()};crossings={crossings}"
+
+
+def test_telephony_query(spark):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = telephony.op6_telephony(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        full = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        media = telephony.wav(telephony.CODECS[zlib.crc32(full) % 3], full)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(spark):
+    docs_, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(docs_, labels), toxicity.train(docs_.withColumn("lang", F.lit("x")), flipped)
+    assert (a.keys == b.keys).all() and (a.weights == b.weights).all() and (a.decay, a.log_k, a.logit) == (b.decay, b.log_k, b.logit)
+    got = {r["doc_id"]: r["held_out"] for r in toxicity.op4_toxicity(spark, DATA).collect()}
+    assert got == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in docs_.collect()}
+
+
 def test_adpcm_blocks_against_one_by_one():
     blocks = rng.integers(0, 256, (7, 36), dtype=np.uint8)
     blocks[:, 2] %= 89
@@ -391,10 +483,12 @@ def test_toxicity(spark, empty):
     assert not toxicity.train(docs, labels.where("toxic = 0")).weights.any()
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     vecs = [(i, rng.normal(size=20).tolist()) for i in range(0, 130)] + [(200, None), (250, [1.0, None]), (300, [float("nan")] * 20), (350, [float("inf")] + [0.0] * 19), (400, [0.5, -0.25]), (450, [])]
     vecs += [(500 + i, vecs[i][1]) for i in range(5)]
     df = spark.createDataFrame(vecs, "vec_id long, e array<float>").select("vec_id", vectors.quantised(F.col("e")).alias("v"))
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "CANDIDATES", 16)
     got = [tuple(r) for r in vectors.top_k(df.where("vec_id % 50 = 0"), df, 5).orderBy("query_id", "rank").collect()]
     ok = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vecs if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     wide = {i: np.pad(v, (0, 20 - len(v))) for i, v in ok.items()}
