@@ -11,7 +11,12 @@ Vec = list  # of Columns
 
 
 def parts(v: Column, n: int, start: int = 0) -> Vec:
-    return [F.get(v, F.lit(start + k)) for k in range(n)]
+    """Elements of an array column, null beyond its end.
+
+    The optimizer takes ``get`` of an array that the select before has built apart and writes its expressions out at every use, which
+    grows exponentially over a few conversions; it leaves this form alone, so each select is evaluated once.
+    """
+    return [F.try_element_at(v, F.lit(start + k + 1)) for k in range(n)]
 
 
 def dot(a: Vec, b: Vec) -> Column:
@@ -121,12 +126,16 @@ def local_relative(xyz: Vec, rot: Vec, ref_xyz: Vec, ref_rot: Vec, scale: float
 
 
 def scaled_angle(m: Vec, factor: float) -> Vec:
-    """The rotation about the same axis by ``factor`` times the angle (Rodrigues)."""
+    """The rotation about the same axis by ``factor`` times the angle (Rodrigues); of the two axes of a half turn the one whose
+    largest part is positive."""
     cos = F.least(F.greatest((m[0] + m[4] + m[8] - 1) / 2, F.lit(-1.0)), F.lit(1.0))
     axis = [m[7] - m[5], m[2] - m[6], m[3] - m[1]]
     n = norm(axis)
     turn = F.atan2(n / 2, cos) * factor
-    x, y, z = [F.when(n > 1e-9, v / n).otherwise(F.lit(0.0)) for v in axis]
+    most = F.greatest(m[0], m[4], m[8])  # at a half turn m + 1 = 2 a a^T: its columns are multiples of the axis
+    column = [F.when(m[0] == most, a).when(m[4] == most, b).otherwise(c) for a, b, c in ((m[0] + 1, m[1], m[2]), (m[3], m[4] + 1, m[5]), (m[6], m[7], m[8] + 1))]
+    length = norm(column)
+    x, y, z = [F.when(n > 1e-9, v / n).when(cos < 0, w / length).otherwise(F.lit(0.0)) for v, w in zip(axis, column, strict=True)]
     s, c = F.sin(turn), 1 - F.cos(turn)
     return [1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y, c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x, c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y)]
 

@@ -86,6 +86,28 @@ def test_rotations(spark):
     assert np.allclose(np.array(r["z"]).reshape(3, 3), np.eye(3))
 
 
+def test_half_turns_keep_their_axis(spark):
+    for axis in ((1.0, 0.0, 0.0), (0.0, 0.6, 0.8), (-0.48, 0.6, 0.64)):
+        u = np.array(axis) / np.linalg.norm(axis)
+        turn = 2 * np.outer(u, u) - np.eye(3)
+        half = np.array(one(spark, h=F.array(*P.scaled_angle([F.lit(float(v)) for v in turn.reshape(-1)], 0.5)))["h"]).reshape(3, 3)
+        assert np.allclose(half @ half, turn, atol=1e-7)
+
+
+def test_products_rays_and_inverses_against_numpy(spark):
+    r = np.random.default_rng(3)
+    turns = [np.linalg.qr(r.normal(size=(3, 3)))[0] for _ in range(4)]
+    flat = lambda m: F.array(*[F.lit(float(v)) for v in np.asarray(m).reshape(-1)])
+    vec = lambda v: [F.lit(float(x)) for x in v]
+    t, o, d = r.normal(size=(3, 3))
+    back, shift = P.look_at_inverse(vec(turns[0].reshape(-1)), vec(t))
+    got = one(spark, p=P.product_in_order(F.array(*map(flat, turns))), b=F.array(*back), s=F.array(*shift), ray=F.array(*P.plucker(vec(o), vec(d))))
+    assert np.allclose(np.array(got["p"]).reshape(3, 3), turns[0] @ turns[1] @ turns[2] @ turns[3])
+    assert np.allclose(np.array(got["b"]).reshape(3, 3), turns[0].T) and np.allclose(got["s"], -turns[0].T @ t)
+    u = d / np.linalg.norm(d)
+    assert np.allclose(got["ray"], [*np.cross(o, u), *u])
+
+
 def test_frames_differ_between_conventions(spark):
     turn = P.euler([F.lit(0.0), F.lit(0.0), F.lit(math.pi / 2)])
     ref, at = [F.lit(0.0)] * 3, [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
