@@ -17,9 +17,9 @@ from tessella.llm.staging import stage
 TRAIN_ROWS = 20_000
 #: Training documents that a feature needs: toxic ones to count for toxicity, others to count against it.
 LEAST_TOXIC, LEAST_CLEAN = 2, 20
-#: Pseudo documents of the Dirichlet prior for each labelled one, what a token without evidence costs a passage, and standard errors that
-#: a log-odds is lowered by.
-PRIOR, COST, CAUTION = 1.0, 0.05, 2.5
+#: Pseudo documents of the Dirichlet prior for each labelled one, what a token without evidence costs a passage, and the numbers of
+#: standard errors that log-odds may be brought nearer to 0 by, of which the sample chooses one.
+PRIOR, COST, CAUTIONS = 1.0, 0.05, (1.0, 2.0, 3.0)
 
 _byte = np.arange(256)
 #: Bytes of tokens: ASCII letters and digits and all of other characters; those that begin a character of three or four bytes.
@@ -191,23 +191,29 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Newton's method with a small ridge; evidence never counts against toxicity."""
-    w = np.zeros(len(x))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-        grad = x @ (p - y) + 0.1 * np.array([0, *w[1:]])
-        hess = (x * np.maximum(p * (1 - p), 1e-6)) @ x.T + 0.1 * np.eye(len(x))
-        step = np.linalg.solve(hess, grad)
-        w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    w[1:] = np.maximum(w[1:], 0)
-    return tuple(float(v) for v in w)
+    """Newton's method with a small ridge; evidence never counts against toxicity: a row that would is left out of the fit."""
+    used = list(range(len(x)))
+    while True:
+        own, w = x[used], np.zeros(len(used))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(w @ own, -30, 30)))
+            grad = own @ (p - y) + 0.1 * np.array([0, *w[1:]])
+            hess = (own * np.maximum(p * (1 - p), 1e-6)) @ own.T + 0.1 * np.eye(len(own))
+            step = np.linalg.solve(hess, grad)
+            w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        if len(used) == 1 or w[1:].min() >= 0:
+            break
+        del used[1 + int(w[1:].argmin())]
+    out = np.zeros(len(x))
+    out[used] = w
+    return tuple(float(v) for v in out)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit a model on at most ``rows`` labelled documents, with a prior from the counts of all documents.
 
     A feature's log-odds are (y + prior * share of all documents) in odds of toxic against other documents, brought
-    nearer to 0 by their standard error.  Each half of the sample is also scored with log-odds of the other half alone: there
+    nearer to 0 by some standard errors: as many of CAUTIONS as give the sample the highest cross-fitted likelihood.  Each half of the sample is also scored with log-odds of the other half alone: there
     the clean documents fix the extreme-value parameters of a passage's score (decay from the moment equation over token
     scores, K from the mean of the top scores), and all of them the logistic curve.  Without toxic or without other labels
     every score is low.  Labels without a document, null labels and ids are left out; of labels of one id the highest counts.
@@ -231,17 +237,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     total = docs.count()
     df = corpus_counts(docs, keys).toPandas().set_index("h")["df"].reindex(table["h"]).fillna(0).to_numpy(float)
 
-    def weigh(y1, y0, n1, n0):
+    def weigh(caution, y1, y0, n1, n0):
         size = PRIOR * (n1 + n0)
         prior = np.maximum(size * df / max(total, 1), 1e-3)
         odds = lambda y, n: np.log((y + prior) / np.maximum(n + size - y - prior, 0.5))
         ratio = odds(y1, n1) - odds(y0, n0)
-        nearer = np.maximum(np.abs(ratio) - CAUTION * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)), 0)
+        nearer = np.maximum(np.abs(ratio) - caution * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)), 0)
         return np.where(y1 + y0 > 0, np.sign(ratio) * nearer, 0)
 
     column = lambda c: table[c].to_numpy(float)
-    model = Model(keys, weigh(column("a1") + column("b1"), column("a0") + column("b0"), n1, n0))
-    crossed = [Model(keys, weigh(column(f"{c}1"), column(f"{c}0"), size[0][p], size[1][p])) for p, c in ((1, "b"), (0, "a"))]
 
     def found_by(m: Model):
         def run(batches):
@@ -256,23 +260,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return run
 
     shape = "toxic long, n long, segments array<double>, level double"
-    parts = [sample.where(f"part = {p}").select("doc_id", "text", "toxic").mapInArrow(found_by(crossed[p]), shape) for p in (0, 1)]
-    both = stage(parts[0].unionByName(parts[1]), "crossed")
-    levels = both.where("level IS NOT NULL").groupBy("level").agg(F.sum("n").alias("n")).toPandas()
-    seen = both.where("level IS NULL").select("toxic", "n", "segments").toPandas()
-    y, n = seen["toxic"].to_numpy() == 1, seen["n"].to_numpy(float)
-    best = np.array([max(s, default=0.0) for s in seen["segments"]])
-    value, times = levels["level"].to_numpy(float), levels["n"].to_numpy(float)
-    low, high = 1e-3, 20.0
-    for _ in range(60):  # decay: the mean of exp(decay * token score) over clean tokens is 1
-        mid = (low + high) / 2
-        low, high = (mid, high) if times @ np.exp(mid * value) < times.sum() else (low, mid)
-    model.decay = low
-    clean = ~y & (n > 0)
-    model.log_k = float(np.mean(model.decay * best[clean] - np.log(n[clean])) - np.euler_gamma) if clean.any() else 0.0
-    strong = np.array([sum(max(0.0, model.level(s, m)) for s in segs) for segs, m in zip(seen["segments"], n, strict=True)])
-    model.logit = _fit_logistic(model.evidence(n, best, strong), y.astype(float)) if y.any() and not y.all() else empty.logit
-    return model
+
+    def fitted(caution: float) -> tuple[float, Model]:
+        """Cross-fitted log likelihood, and the model with this caution."""
+        model = Model(keys, weigh(caution, column("a1") + column("b1"), column("a0") + column("b0"), n1, n0))
+        crossed = [Model(keys, weigh(caution, column(f"{c}1"), column(f"{c}0"), size[0][p], size[1][p])) for p, c in ((1, "b"), (0, "a"))]
+        parts = [sample.where(f"part = {p}").select("doc_id", "text", "toxic").mapInArrow(found_by(crossed[p]), shape) for p in (0, 1)]
+        both = stage(parts[0].unionByName(parts[1]), "crossed")
+        levels = both.where("level IS NOT NULL").groupBy("level").agg(F.sum("n").alias("n")).toPandas()
+        seen = both.where("level IS NULL").select("toxic", "n", "segments").toPandas()
+        y, n = seen["toxic"].to_numpy() == 1, seen["n"].to_numpy(float)
+        best = np.array([max(s, default=0.0) for s in seen["segments"]])
+        value, times = levels["level"].to_numpy(float), levels["n"].to_numpy(float)
+        low, high = 1e-3, 20.0
+        for _ in range(60):  # decay: the mean of exp(decay * token score) over clean tokens is 1
+            mid = (low + high) / 2
+            low, high = (mid, high) if times @ np.exp(mid * value) < times.sum() else (low, mid)
+        model.decay = low
+        clean = ~y & (n > 0)
+        model.log_k = float(np.mean(model.decay * best[clean] - np.log(n[clean])) - np.euler_gamma) if clean.any() else 0.0
+        strong = np.array([sum(max(0.0, model.level(s, m)) for s in segs) for segs, m in zip(seen["segments"], n, strict=True)])
+        evidence = model.evidence(n, best, strong)
+        if y.any() and not y.all():
+            model.logit = _fit_logistic(evidence, y.astype(float))
+        p = np.clip(model.score(evidence), 1e-9, 1 - 1e-9)
+        return float(np.log(np.where(y, p, 1 - p)).sum()), model
+
+    return max((fitted(c) for c in CAUTIONS), key=lambda x: x[0])[1]
 
 
 def score(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("score", "predicted", "passages")) -> DataFrame:

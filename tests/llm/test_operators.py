@@ -523,3 +523,30 @@ def test_pipeline(spark):
         sizes.append(after.select("doc_id").distinct().count())
     assert [s[0] for s in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] == sizes[5] > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in all columns, empty and repeated rows, one very long text, and columns named like the operators' own."""
+    import corpus_pipeline as pipeline
+
+    own = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, n_lines long, n_dropped string, passages string, spans string, rounds int, `__id` int, `a.b` string"
+    plain = lambda i, t, s="s": (i, t, None, s, None, "keep", 1, -1, "keep", None, "keep", 7, 3, "keep")
+    long = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
+    rows_ = [plain(0, None), plain(2, ""), plain(4, long), plain(6, "same words here and there today"), plain(8, "same words here and there today", None), plain(None, "a row without an id"), plain(10, None, None)]
+    rows_ += [plain(12, "this row stands in the table twice")] * 2 + [plain(100 + k, f"one own line {k}\nshared by many") for k in range(12)]
+    docs_ = spark.createDataFrame(rows_, own)
+    key = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1 for r in df.collect()))
+    every = key(docs_)
+    done = {}
+    for name, step in pipeline.STAGES[:-1]:
+        out = step(spark, docs_, DATA)
+        assert out.columns == docs_.columns and all(r["score"] == "keep" and r["predicted"] == 1 and r["n_lines"] == -1 and r["a.b"] == "keep" and r["rounds"] == 7 for r in out.collect()), name
+        done[name] = out
+        assert step(spark, docs_.where("1 = 0"), DATA).count() == 0
+    assert key(done["toxicity"]) == every and key(done["line_dedup"]) == every
+    texts = {r["doc_id"]: r["text"] for r in done["line_dedup"].collect()}
+    assert texts[0] is None and texts[2] == "" and texts[4] == long and texts[105] == "one own line 5"
+    assert key(done["near_dedup"]) == [i for i in every if i != 8]
+    mixed = {r["doc_id"]: r for r in done["mixing"].collect()}
+    assert not {0, 2, 10, None} & set(mixed) and all(r["text"] and r["n_chars"] == len(r["text"]) for r in mixed.values())
+    assert pipeline.pack(spark, docs_, DATA).select("doc_id").distinct().count() == len(set(every)) and pipeline.pack(spark, docs_.where("1 = 0"), DATA).count() == 0
