@@ -189,7 +189,8 @@ def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) ->
     of the first |x| - a + 1 of x and |y| - b + 1 of y, where a = 2t / (1 + t) |x| and b = t |y| bound the overlap.  Shingles
     of one document only count for these numbers and are dropped.  Groups meet by shingle before their documents do, so a
     large group whose members are connected makes no pairs among them.  A pair counts at the first shingle that both share (of the
-    LEAD ones before it that are kept), where its places also bound the overlap by what is left of either set.
+    LEAD ones before it that are kept), where its places also bound the overlap by what is left of either set; groups of one
+    document are held to that when they meet.
     """
 
     def run(batches):
@@ -210,9 +211,9 @@ def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) ->
     first = first.withColumn("lead", F.expr(f"transform(slice(order, 1, {LEAD}), s -> s.h)"))
     first = first.select("doc_id", "n", "g", "alone", "index", "lead", F.posexplode(F.expr("slice(order, 1, CAST(probe - alone AS INT))")).alias("at", "s"))
     first = stage(first.select("doc_id", "n", "g", F.col("s.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"), F.expr(f"slice(lead, 1, least(at, {LEAD}))").alias("before"), F.expr("alone + at < index").alias("indexed")), "prefixes")
-    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"), F.count("*").alias("docs")), "prefix-groups")
+    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"), F.max(F.col("n") - F.col("at")).alias("left"), F.count("*").alias("docs"), F.first("before").alias("before")).withColumn("before", F.when(F.col("docs") == 1, F.col("before")).otherwise(F.expr("CAST(array() AS array<bigint>)"))), "prefix-groups")
     side = lambda df, x: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "h"))
-    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"struct(x_docs, x_g) < struct(y_docs, y_g) AND x_g <> y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least")
+    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"struct(x_docs, x_g) < struct(y_docs, y_g) AND x_g <> y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least AND {100 + percent} * least(x_left, y_left) >= {percent} * (x_least + y_least) AND NOT arrays_overlap(x_before, y_before)")
     met = stage(met.select("h", "x_g", "y_g"), "met")
     half = stage(met.join(side(first, "x"), ["h", "x_g"]), "half-pairs")  # x is the smaller of the groups
     smaller = F.expr("struct(x_n, x_doc_id) < struct(y_n, y_doc_id)")
