@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("score",
 
     kinds = (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType()))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)  # mapInArrow takes no names with dots
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
