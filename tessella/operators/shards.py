@@ -24,15 +24,16 @@ def manifest_rows(manifests: DataFrame, cameras: list[str] | None = None) -> Dat
     return rows.select("dataset", "root", "chunk_size", "shard_no", "shard", F.explode("_keys").alias("key")).withColumn("path", F.concat_ws("/", "root", "key", "shard"))
 
 
-def assign_strided(shards: DataFrame, order: list[str], world: int, workers: int, start: int = 0) -> DataFrame:
-    """(rank, worker) of each shard in ``order``: strides over ranks, then workers; ``start`` skips shards done before.
+def assign_strided(shards: DataFrame, order: str, world: int, workers: int, start: int = 0) -> DataFrame:
+    """(rank, worker) of each shard by the unique integer ``order``: strides over ranks, then workers; ``start`` skips shards
+    done before.
 
-    The list is padded to a multiple of all workers by its first shards, so that everyone gets as many.
+    The list is padded to a multiple of all workers by its first shards, so that everyone gets as many.  Places are two-level
+    prefix sums (``numbered``), so no task ranks the whole list.
     """
-    n = Window.orderBy(*order)
-    rows = shards.withColumn("position", F.row_number().over(n) - 1).where(F.col("position") >= start).withColumn("position", F.col("position") - start)
-    total = Window.partitionBy()
-    rows = rows.withColumn("_n", F.count("*").over(total)).withColumn("_pad", F.pmod(-F.col("_n"), F.lit(world * workers)))
+    rows = numbered(shards, order).where(F.col("position") >= start).withColumn("position", F.col("position") - start)
+    size = shards.agg(F.greatest(F.count(order) - start, F.lit(0)).alias("n")).scalar()
+    rows = rows.withColumn("_n", size).withColumn("_pad", F.pmod(-F.col("_n"), F.lit(world * workers)))
     copies = F.floor((F.col("_pad") - 1 - F.col("position")) / F.col("_n")) + 1
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), copies)))).withColumn("slot", F.col("position") + F.col("_copy") * F.col("_n"))
     return rows.withColumn("rank", F.pmod("slot", F.lit(world))).withColumn("worker", F.pmod(F.floor(F.col("slot") / world), F.lit(workers))).drop("_n", "_pad", "_copy")

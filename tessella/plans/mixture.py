@@ -94,11 +94,12 @@ MANIFEST_SQL = "p AS (SELECT *, split_part(split_part(url, '://', 2), '/', 1) AS
 
 
 def manifests(spark, sf):
-    """A manifest per host of ``pages``: its shards are the pages."""
+    """Manifests of the hosts of ``pages``: their shards are the pages, at most 100 in one manifest, so that a host of any
+    size has many manifests and no row that grows with it."""
     host = F.split(F.split("url", "://")[1], "/")[0]
     shard = F.format_string("%06d.tar", "page_id")
     keys = F.array(F.lit("metas"), F.lit("videos"))
-    return table(spark, sf, "pages").groupBy(host.alias("dataset")).agg(F.array_sort(F.collect_list(shard)).alias("data_list")).withColumn("root", F.concat(F.lit("s3://bucket/"), "dataset")).withColumn("data_keys", keys).withColumn("chunk_size", F.lit(100))
+    return table(spark, sf, "pages").groupBy(host.alias("dataset"), F.floor(F.col("page_id") / 100).alias("part")).agg(F.array_sort(F.collect_list(shard)).alias("data_list")).withColumn("root", F.concat(F.lit("s3://bucket/"), "dataset")).withColumn("data_keys", keys).withColumn("chunk_size", F.lit(100))
 
 
 @query("sc6_manifest_parse", f"WITH {MANIFEST_SQL} SELECT dataset, root || '/' || k || '/' || printf('%06d.tar', page_id) AS path FROM u CROSS JOIN (VALUES ('metas'), ('videos')) t(k)")
@@ -138,7 +139,7 @@ def st1_st2(spark, sf):
 @query("st3_st5_strided_assignment", """WITH n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), k AS (SELECT s_suppkey, i - 3 AS i, count(*) OVER () AS c FROM n WHERE i >= 3),
 z AS (SELECT s_suppkey, i + j * c AS slot FROM k CROSS JOIN range(50) t(j) WHERE i + j * c < ceil(c / 12.0) * 12) SELECT s_suppkey, CAST(slot % 4 AS BIGINT) AS rank, CAST(slot // 4 % 3 AS BIGINT) AS worker FROM z""")
 def st3(spark, sf):
-    return H.assign_strided(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], 4, 3, start=3).select("s_suppkey", F.col("rank").cast("long").alias("rank"), F.col("worker").cast("long").alias("worker"))
+    return H.assign_strided(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 4, 3, start=3).select("s_suppkey", F.col("rank").cast("long").alias("rank"), F.col("worker").cast("long").alias("worker"))
 
 
 @query("ag21_worker_equalization", """WITH g AS (SELECT lang AS aspect, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT *, CAST(ceil(n / sum(n) OVER () * 16) AS BIGINT) AS c, row_number() OVER (ORDER BY n DESC, aspect) = 1 AS big FROM g),

@@ -35,12 +35,12 @@ def sc3(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("pf1_split_ranges", "SELECT s.name, unnest(generate_series(a, b)) AS episode FROM (VALUES ('train', 0, 4), ('train', 7, 9), ('val', 3, 3), ('fail', 20, 24), ('fail', 42, 42)) s(name, a, b) WHERE EXISTS (SELECT 1 FROM events)")
+@query("pf1_split_ranges", "WITH n AS (SELECT user_id AS episode, count(*) AS n FROM events GROUP BY 1) SELECT episode, unnest(generate_series(0, n // 2) || generate_series(n // 2 + 2, n + 2) || [n + 4]) AS step FROM n")
 def pf1(spark, sf):
-    """Split specifications (literals beside the data) as episode ids."""
-    spec = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("spec")) for n, s in (("train", "0:4, 7-9"), ("val", "3"), ("fail", "20-24 42"))]))
-    rows = table(spark, sf, "events").select(F.lit(1).alias("x")).limit(1).select(spec.alias("s")).select("s.*")
-    return rows.select("name", F.explode(S.parse_ranges(F.col("spec"))).alias("episode"))
+    """Every episode's split specification, written from its length, as step numbers."""
+    n = F.col("length")
+    spec = F.format_string("0:%d, %d-%d %d", F.floor(n / 2), F.floor(n / 2) + 2, n + 2, n + 4)
+    return episodes(spark, sf).select("episode", F.explode(S.parse_ranges(spec)).alias("step"))
 
 
 SPLITS = (("Fail", "3-5, 9"), ("bad_frames", "0:1"), ("train", "0:1000000"))
