@@ -6,6 +6,7 @@ from tessella.llm.linededup import OP7_SQL, op7_line_dedup
 from tessella.llm.minhash import OP10_SQL, op10_near_dedup
 from tessella.llm.mixing import op2_mixing
 from tessella.llm.packing import op5_packing
+from tessella.llm.runs import op11_runs
 from tessella.llm.substring import OP3_SQL, op3_substring_dedup
 from tessella.llm.suffixes import OP9_SQL, op9_suffix_dedup
 from tessella.llm.telephony import op6_telephony
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_runs": op11_runs,
 }
 SQL = {
     "op1_warc": OP1_SQL,
