@@ -99,18 +99,21 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def centroid_distance(points: DataFrame, by: list[str], miss: float) -> DataFrame:
-    """Per frame the mean distance of matched centroids (side 0 against side 1), ``miss`` for each unmatched one; frames
-    without points on either side are NaN.  A frame has a handful of points; frames are grouped over the cluster."""
+    """Per frame the mean distance of the true centroids (side 0) to the generated ones (side 1) that match them best, ``miss`` for
+    each that has none.
+
+    Frames without true centroids are NaN; generated ones in surplus don't count.  A frame has a handful of points; frames are
+    grouped over the cluster.
+    """
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf.loc[pdf["side"] == s, ["x", "y"]].to_numpy(float) for s in (0, 1))
-        total = max(len(a), len(b))
         value = NAN
-        if total:
-            gap = np.hypot(*(a[:, None, :] - b[None, :, :]).transpose(2, 0, 1)) if len(a) and len(b) else np.zeros((0, 0))
-            pairs = assignment(gap) if gap.size else []
-            value = (sum(gap[p] for p in pairs) + miss * (total - len(pairs))) / total
+        if len(a):
+            gap = np.hypot(*(a[:, None, :] - b[None, :, :]).transpose(2, 0, 1))
+            pairs = assignment(gap) if len(b) else []
+            value = (sum(gap[p] for p in pairs) + miss * (len(a) - len(pairs))) / len(a)
         return pd.DataFrame([[*key, value]], columns=[*by, "distance"])
 
     return points.groupBy(*by).applyInPandas(run, f"{names}, distance double")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import numbered
+
 
 def manifest_rows(manifests: DataFrame, cameras: list[str] | None = None) -> DataFrame:
     """One row per shard and data key of manifests (dataset, root, data_list, data_keys, chunk_size).
@@ -25,11 +27,11 @@ def manifest_rows(manifests: DataFrame, cameras: list[str] | None = None) -> Dat
 
 
 def assign_strided(shards: DataFrame, order: str, world: int, workers: int, start: int = 0) -> DataFrame:
-    """(rank, worker) of each shard by the unique integer ``order``: strides over ranks, then workers; ``start`` skips shards
-    done before.
+    """(rank, worker) of each shard in the order of a column (a path, say): strides over ranks, then workers; ``start`` skips
+    shards done before.
 
-    The list is padded to a multiple of all workers by its first shards, so that everyone gets as many.  Places are two-level
-    prefix sums (``numbered``), so no task ranks the whole list.
+    The list is padded to a multiple of all workers by its first shards, so that everyone gets as many.  Places come from range
+    partitions and their totals (``numbered``), so no task ranks the whole list.
     """
     rows = numbered(shards, order).where(F.col("position") >= start).withColumn("position", F.col("position") - start)
     size = shards.agg(F.greatest(F.count(order) - start, F.lit(0)).alias("n")).scalar()
@@ -72,20 +74,11 @@ def align(streams: dict[str, DataFrame], index: DataFrame | None = None) -> Data
 
 
 def zip_shortest(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
-    """Rows of both tables paired by position, as many as the shorter has.  Positions are ranks within blocks of the
-    order column plus the blocks' prefix sums, so no task sorts a whole table."""
+    """Rows of both tables paired by position, as many as the shorter has.  Positions come from range partitions and their
+    totals, so no task sorts a whole table."""
     return numbered(a, order_a).join(numbered(b, order_b), "position")
 
 
-def numbered(rows: DataFrame, key: str, width: int = 1024) -> DataFrame:
-    """Add ``position``: the rank by a unique integer key, from 0."""
-    block = F.floor(F.col(key) / width)
-    tops = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
-    tops = tops.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
-    return rows.withColumn("_block", block).withColumn("_rank", rank).join(tops, "_block").withColumn("position", F.col("_before") + F.col("_rank")).drop("_block", "_rank", "_before")
-
-
 def caption_chunks(frames: Column, chunk: int, target: int) -> Column:
     """(start, size) of the caption windows of a video: max(frames // chunk, 1) of them and a tail of at least half a
     chunk with more than ``target`` frames; one chunk holds all of a short video.  Too few frames give none."""

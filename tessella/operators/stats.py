@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import exact_quantiles
+from tessella.shared import cut
+
 
 def dimension_statistics(rows: DataFrame, vector: str, by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(by..., dim, n, mean, std, min, max, q01, q99): one row per dimension.
 
-    ``std`` is the population's.  Quantiles interpolate linearly; ``exact=False`` takes mergeable sketches instead,
-    whose state stays small however many distinct values a dimension has.
+    ``std`` is the population's.  Nulls and NaN don't count; a dimension without values is null but for n = 0.  Quantiles
+    interpolate linearly.  Exact ones are selected by passes over ``rows`` that narrow ranges (``exact_quantiles``), which
+    run as this is called; ``exact=False`` takes mergeable sketches in the one pass of the other statistics.
     """
-    q = (lambda p: F.percentile("x", F.lit(p))) if exact else (lambda p: F.percentile_approx("x", p, 10_000))
-    long = rows.select(*(by or []), F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    return long.groupBy(*(by or []), "dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q(0.01).alias("q01"), q(0.99).alias("q99"))
+    by = by or []
+    long = rows.select(*by, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.nanvl(F.col("x").cast("double"), F.lit(None).cast("double")))
+    basic = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    if not exact:
+        return long.groupBy(*by, "dim").agg(*basic, *(F.percentile_approx("x", p, 10_000).alias(q) for p, q in ((0.01, "q01"), (0.99, "q99"))))
+    basic = cut(long.groupBy(*by, "dim").agg(*basic), "extents")
+    q = exact_quantiles(rows, vector, basic, [0.01, 0.99], by)
+    met = reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"q.{k}")) for k in [*by, "dim"]])
+    return basic.alias("b").join(q.alias("q"), met, "left").select("b.*", F.col("quantiles")[0].alias("q01"), F.col("quantiles")[1].alias("q99"))
 
 
 def as_struct(stats: DataFrame, by: list[str] | None = None) -> DataFrame:

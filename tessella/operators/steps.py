@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import prefix_sum
+
 
 def enumerate_steps(episodes: DataFrame) -> DataFrame:
     """One row per step of every episode (episode, length); episodes of length 0 or null give none."""
     return episodes.where("length > 0").select("episode", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("base"))
 
 
-def prefix_sum(rows: DataFrame, key: str, value: str, out: str, width: int = 1024) -> DataFrame:
-    """Add the sum of ``value`` over all smaller integer keys, in two levels so that no task ranks more than a block
-    of keys.  Keys are unique."""
-    block = F.floor(F.col(key) / width)
-    tops = rows.groupBy(block.alias("_block")).agg(F.sum(value).alias("_sum"))
-    tops = tops.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_block", block).withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(tops, "_block").withColumn(out, F.col("_before") + F.col("_inner")).drop("_block", "_inner", "_before")
-
-
 def tail_holdout(episodes: DataFrame) -> DataFrame:
     """Steps with their number in the whole table and ``is_test`` for the last ceil(n / 20) of all n steps.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import STEPS, steps, table
 from tessella.operators import mixture as M
 from tessella.operators import shards as H
+from tessella.operators.numbering import numbered
 from tessella.registry import query
 
 PARTS_SQL = """p AS (SELECT source AS dataset, count(*) AS n, CASE WHEN source LIKE '%1' THEN 3.0 WHEN source LIKE '%2' THEN 0.5 ELSE 1.0 END AS ratio FROM documents GROUP BY 1, 3),
@@ -114,10 +115,22 @@ def sc7(spark, sf):
 
 @query("sc9_key_index", "SELECT split_part(p_name || '.tar', '.', 1) AS key, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part")
 def sc9(spark, sf):
-    rows = H.numbered(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    rows = numbered(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
     return rows.select(F.split(F.concat("p_name", F.lit(".tar")), r"\.")[0].alias("key"), "position")
 
 
+@query("wn14_text_numbering", "SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS key, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR))) - 1 AS position FROM events")
+def wn14_text(spark, sf):
+    """Dense numbers for events in the order of random text keys."""
+    return numbered(table(spark, sf, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("key")), "key")
+
+
+@query("wn14_grouped_numbering", "SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS position FROM documents")
+def wn14_grouped(spark, sf):
+    """Dense numbers for documents by source: few keys, one of which may hold most rows."""
+    return numbered(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
 @query("sc18_item_files", "SELECT printf('%06d.pkl', 100 + s_suppkey) AS file FROM supplier WHERE s_suppkey >= 0 AND s_suppkey < 1000000")
 def sc18(spark, sf):
     return table(spark, sf, "supplier").where("s_suppkey >= 0 AND s_suppkey < 1000000").select(F.format_string("%06d.pkl", F.col("s_suppkey") + 100).alias("file"))

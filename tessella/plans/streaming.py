@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessella.registry import query
+from tessella.shared import new_path
 from tessella.streaming import stream as S
 
 
-def folder(spark, name: str) -> str:
-    """A new folder below the shared one that the cluster names; a temporary one where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
-    return f"{at.rstrip('/')}/streams/{uuid.uuid4().hex}/{name}"
-
-
 @query("ss1_windowed_stream", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def ss1(spark, sf):
     """Hourly counts by the streaming engine; the result table is complete after the last batch."""
-    out = folder(spark, "out")
-    S.run_available(S.windowed_counts(S.events(spark, f"{sf}/events.parquet")), out, folder(spark, "state"), "complete")
+    out = new_path(spark, "out")
+    S.run_available(S.windowed_counts(S.events(spark, f"{sf}/events.parquet")), out, new_path(spark, "state"), "complete")
     rows = spark.read.parquet(out)
     return rows.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("ss3_stateful_chunks", "SELECT user_id, count(*) // 12 AS chunks FROM events GROUP BY 1 HAVING count(*) >= 12")
 def ss3(spark, sf):
-    out = folder(spark, "out")
-    S.run_available(S.chunk_counts(S.events(spark, f"{sf}/events.parquet")), out, folder(spark, "state"))
+    out = new_path(spark, "out")
+    S.run_available(S.chunk_counts(S.events(spark, f"{sf}/events.parquet")), out, new_path(spark, "state"))
     return spark.read.schema("user_id long, chunks long").parquet(f"{out}/batch=*").groupBy("user_id").agg(F.sum("chunks").alias("chunks"))

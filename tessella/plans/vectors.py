@@ -34,6 +34,14 @@ def ag1(spark, sf):
     return st.select(F.col("dim").cast("long").alias("dim"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "q01", "q99")])
 
 
+@query("ag1_grouped_statistics", f"""{LONG} SELECT label, CAST(dim AS BIGINT) AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.01), 6) AS q01, round(quantile_cont(x, 0.99), 6) AS q99
+FROM l GROUP BY label, dim""")
+def ag1_grouped(spark, sf):
+    """The same for each label."""
+    st = S.dimension_statistics(rows(spark, sf), "e", ["label"])
+    return st.select("label", F.col("dim").cast("long").alias("dim"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "q01", "q99")])
+
+
 @query("ag23_max_dimension", f"WITH {VEC} SELECT label, max(len(e)) AS dims FROM v GROUP BY 1")
 def ag23(spark, sf):
     return rows(spark, sf).groupBy("label").agg(F.max(F.size("e")).cast("long").alias("dims"))

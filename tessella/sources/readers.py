@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import tarfile
 from collections.abc import Callable
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.stores import uri_parts  # noqa: F401
+
 #: Formats whose content runs code when loaded.
 REFUSED = {"pickle", "pkl", "pt", "pth", "ckpt", "jit"}
 BINARY = {"png", "jpg", "jpeg", "mp4", "webm", "npy", "npz", "obj", "ply", "tar", "gz", "byte"}
@@ -21,10 +22,10 @@ def extension(path: str) -> str:
     return path.rstrip("/*").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
-def uri_parts(path: str) -> tuple[str | None, str, str]:
-    """(cluster, scheme, rest) of ``cluster:s3://bucket/key``; a plain path has the scheme ``file``."""
-    m = re.match(r"^(?:(\w[\w-]*):)?(\w+)://(.*)$", path)
-    return (m[1], m[2], m[3]) if m else (None, "file", path)
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "*" not in path and fs.exists(at) and fs.getFileStatus(at).isDirectory()
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
         raise TypeError(f"{kind} files run code when loaded; they aren't read")
     readers = {
         "parquet": spark.read.parquet,
-        "json": spark.read.option("multiLine", True).json,
+        "json": spark.read.option("multiLine", kind == "json" and not is_folder(spark, path)).json,  # folders hold lines, as ``write_any`` writes them
         "jsonl": spark.read.json,
         "csv": spark.read.option("header", True).csv,
         "txt": spark.read.text,
@@ -122,7 +123,7 @@ def tar_shards(spark: SparkSession, path: str, suffixes: list[str] | None = None
 def samples(shards: DataFrame, suffixes: list[str]) -> DataFrame:
     """One row per complete sample: a column per suffix; repeated keys count once, incomplete samples are left out."""
     one = shards.where(F.col("suffix").isin(suffixes)).groupBy("key").pivot("suffix", suffixes).agg(F.min_by("data", F.struct("shard", "position")))
-    return one.dropna(subset=suffixes)
+    return one.dropna(subset=[f"`{s}`" for s in suffixes])
 
 
 def camera_rows(lines: DataFrame, value: str = "value") -> DataFrame:
