@@ -182,15 +182,34 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, every.where("kind = 'crowded'").select(F.col("lo").alias("doc_id")).distinct()
 
 
+def prefix_sides(first: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of prefixes (doc_id, n, g, h, at, before, indexed), by shingle and class of set size.
+
+    Of a similar pair the smaller set comes from the indexed side.  What is left of it from the shared shingle on bounds the other's
+    size, so a group is sent to the classes (of 5 %) between its smallest set and the largest that can still match; the other side
+    has a row for each class that its sets lie in.  Sets whose shared shingles come too late to be indexed, such as
+    those of a template that differ in more than they share, have no row on the first side and match nothing.
+    """
+    size = lambda n: F.floor(F.log(n) * 20)
+    alone = F.when(F.col("docs") == 1, F.col("before")).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    common = [F.min("n").alias("least"), F.max(F.col("n") - F.col("at")).alias("left"), F.count("*").alias("docs"), F.first("before").alias("before")]
+    reach = F.expr(f"least(100 * n DIV {percent}, ({100 + percent} * (n - at) - {percent} * n) DIV {percent})")
+    x = first.where("indexed").groupBy("h", "g").agg(*common, F.max(reach).alias("reach")).withColumn("before", alone).where("reach >= least")
+    x = x.withColumn("size", F.explode(F.sequence(size(F.col("least")), size(F.col("reach")))))
+    y = first.groupBy("h", "g", size(F.col("n")).alias("size")).agg(*common, F.max("n").alias("most")).withColumn("before", alone)
+    put = lambda df, k: stage(df.select("h", "size", *(F.col(c).alias(f"{k}_{c}") for c in df.columns if c not in ("h", "size", "docs"))), f"prefixes-{k}")
+    return put(x, "x"), put(y, "y")
+
+
 def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) -> DataFrame:
     """(lo, hi): every pair of ``texts`` (doc_id, text) in different groups (id, component) that can be similar enough.
 
     An exact prefix filter.  In one order of all shingles, rarest first, the sets x, y of a similar pair, |x| <= |y|, share one
     of the first |x| - a + 1 of x and |y| - b + 1 of y, where a = 2t / (1 + t) |x| and b = t |y| bound the overlap.  Shingles
-    of one document only count for these numbers and are dropped.  Groups meet by shingle before their documents do, so a
-    large group whose members are connected makes no pairs among them.  A pair counts at the first shingle that both share (of the
-    LEAD ones before it that are kept), where its places also bound the overlap by what is left of either set; groups of one
-    document are held to that when they meet.
+    of one document only count for these numbers and are dropped.  Groups meet by shingle and size (``prefix_sides``) before their
+    documents do, so a large group whose members are connected makes no pairs among them.  A pair counts at the first shingle
+    that both share (of the LEAD ones before it that are kept), where its places also bound the overlap by what is left of either
+    set; groups of one document are held to that when they meet.
     """
 
     def run(batches):
@@ -211,10 +230,14 @@ def rare_pairs(texts: DataFrame, group: DataFrame, words: int, percent: int) ->
     first = first.withColumn("lead", F.expr(f"transform(slice(order, 1, {LEAD}), s -> s.h)"))
     first = first.select("doc_id", "n", "g", "alone", "index", "lead", F.posexplode(F.expr("slice(order, 1, CAST(probe - alone AS INT))")).alias("at", "s"))
     first = stage(first.select("doc_id", "n", "g", F.col("s.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"), F.expr(f"slice(lead, 1, least(at, {LEAD}))").alias("before"), F.expr("alone + at < index").alias("indexed")), "prefixes")
-    kinds = stage(first.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"), F.max(F.col("n") - F.col("at")).alias("left"), F.count("*").alias("docs"), F.first("before").alias("before")).withColumn("before", F.when(F.col("docs") == 1, F.col("before")).otherwise(F.expr("CAST(array() AS array<bigint>)"))), "prefix-groups")
     side = lambda df, x: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "h"))
-    met = side(kinds, "x").join(side(kinds, "y"), "h").where(f"struct(x_docs, x_g) < struct(y_docs, y_g) AND x_g <> y_g AND (x_indexed OR y_indexed) AND 100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least AND {100 + percent} * least(x_left, y_left) >= {percent} * (x_least + y_least) AND NOT arrays_overlap(x_before, y_before)")
-    met = stage(met.select("h", "x_g", "y_g"), "met")
+    x, y = prefix_sides(first, percent)
+    met = x.join(y, ["h", "size"]).where(f"x_g <> y_g AND y_most >= x_least AND {100 + percent} * least(x_left, y_left) >= {percent} * (x_least + y_least) AND NOT arrays_overlap(x_before, y_before)")
+    met = stage(met.select("h", F.least("x_g", "y_g").alias("a"), F.greatest("x_g", "y_g").alias("b")).distinct(), "met")
+    docs = stage(first.groupBy("h", "g").agg(F.count("*").alias("docs")), "prefix-groups")
+    of = lambda k: docs.select("h", F.col("g").alias(k), F.col("docs").alias(f"{k}_docs"))
+    swap = F.col("b_docs") < F.col("a_docs")
+    met = met.join(of("a"), ["h", "a"]).join(of("b"), ["h", "b"]).select("h", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x_g"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y_g"))
     half = stage(met.join(side(first, "x"), ["h", "x_g"]), "half-pairs")  # x is the smaller of the groups
     smaller = F.expr("struct(x_n, x_doc_id) < struct(y_n, y_doc_id)")
     near = F.when(smaller, F.col("x_indexed")).otherwise(F.col("y_indexed")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {100 + percent} * least(x_n - x_at, y_n - y_at) >= {percent} * (x_n + y_n)")
