@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.fuzzy import fuzzy_blocked  # noqa: F401
+
 
 def ascii_fold(text: Column) -> Column:
     """Every run of non-ASCII characters becomes one space."""
@@ -30,42 +29,6 @@ def blocked_word(text: Column, words: list[str]) -> Column:
     return F.nullif(F.regexp_extract(collapsed(text), pattern, 1), F.lit(""))
 
 
-def fuzzy_blocked(words: list[str], changes: int = 1, least: int = 6):
-    """A vectorized function: the first listed word of at least ``least`` letters that a run of as many words of the text
-    resembles (matching-block ratio at least (length - changes) / length), else null."""
-    listed = [(w.lower(), len(w.split())) for w in words if len(w) >= least]
-
-    def close(a: str, b: str) -> bool:
-        need = (len(b) - changes) / len(b)
-        if 2 * min(len(a), len(b)) / (len(a) + len(b)) < need:
-            return False
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        return m.quick_ratio() >= need and m.ratio() >= need
-
-    met: dict[tuple[int, str], str | None] = {}
-
-    def match(n: int, run: str) -> str | None:
-        if (n, run) not in met:
-            if len(met) > 1 << 17:
-                met.clear()
-            met[(n, run)] = next((w for w, size in listed if size == n and close(run, w)), None)
-        return met[(n, run)]
-
-    def find(text: str | None) -> str | None:
-        tokens = (text or "").lower().split()
-        for n in sorted({size for _, size in listed}):
-            for run in dict.fromkeys(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)):
-                if found := match(n, run):
-                    return found
-        return None
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
-
-    return run
-
-
 def censored(text: Column, words: list[str], allowed: list[str]) -> Column:
     """Listed words as asterisks, but for those allowed."""
     banned = [w for w in words if w not in allowed]

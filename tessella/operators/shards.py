@@ -51,16 +51,6 @@ def equalised_workers(groups: DataFrame, workers: int) -> DataFrame:
     return rows.withColumn("per_worker", F.ceil(F.col("n") / F.greatest("workers", F.lit(1)))).drop("_ceil")
 
 
-def greedy_workers(sizes: dict[str, int], workers: int) -> dict[str, int]:
-    """At least one worker each, then one by one to the group furthest below its share (driver side: a handful of groups)."""
-    out = dict.fromkeys(sizes, 1)
-    total = sum(sizes.values()) or 1
-    for _ in range(max(0, workers - len(sizes))):
-        k = min(out, key=lambda a: (out[a] - sizes[a] / total * workers, a))
-        out[k] += 1
-    return out
-
-
 def align(streams: dict[str, DataFrame], index: DataFrame | None = None) -> DataFrame:
     """N-way join of sample streams (key, value) on their keys: complete samples only, a repeated key counts once (its
     first value by ``position``), restricted to and ordered by ``index`` (key, position) where given.

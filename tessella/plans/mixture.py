@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import STEPS, steps, table
 from tessella.operators import mixture as M
 from tessella.operators import shards as H
+from tessella.operators import ranks
 from tessella.operators.numbering import numbered
 from tessella.registry import query
 
@@ -161,6 +162,23 @@ def ag21(spark, sf):
     return H.equalised_workers(table(spark, sf, "documents").groupBy(F.col("lang").alias("aspect")).agg(F.count("*").alias("n")), 16)
 
 
+@query("ag20_worker_allocation", """WITH RECURSIVE g AS (SELECT source, list(lang ORDER BY lang) AS k, list(n ORDER BY lang) AS n, sum(n) AS total FROM (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1),
+r(source, k, n, total, w) AS (SELECT *, list_transform(k, lambda x: 1::BIGINT) FROM g UNION ALL SELECT source, k, n, total, list_transform(range(1, len(w) + 1), lambda i: w[i] + CASE WHEN i = list_position(lack, list_min(lack)) THEN 1 ELSE 0 END)
+  FROM (SELECT *, list_transform(range(1, len(w) + 1), lambda i: w[i] / list_sum(w)::DOUBLE - n[i] / total::DOUBLE) AS lack FROM r WHERE list_sum(w) < 24))
+SELECT source, unnest(k) AS lang, unnest(n) AS n, unnest(w) AS workers FROM r WHERE list_sum(w) = 24""")
+def ag20(spark, sf):
+    """24 workers of each source given to its languages, one at a time where the share lacks most."""
+    groups = table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("key")).agg(F.count("*").alias("n"))
+    return ranks.allocated_workers(groups, 24, ["source"]).select("source", F.col("key").alias("lang"), "n", "workers")
+
+
+@query("j15_order_restored", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents")
+def j15(spark, sf):
+    """Documents dealt to seven ranks with dummies, and gathered in the order before."""
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return ranks.gathered(ranks.dealt(rows, 7, "n_chars", "doc_id"), 7).select("doc_id", "n_chars", "position")
+
+
 @query("st4_aspect_assignment", "SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 4 AS BIGINT) AS worker FROM documents")
 def st4(spark, sf):
     w = F.pmod(F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1, F.lit(4)).cast("long")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.catalog import table
+from tessella.catalog import STEPS, steps, table
 from tessella.operators import prep as P
+from tessella.operators.multiview import multiview_frames
 from tessella.registry import query
 
 
@@ -150,6 +151,24 @@ def ma30(spark, sf):
     return rows.select("c_nationkey", F.size("v").cast("long").alias("views"), F.array_join("v", "|").alias("prefix"))
 
 
+VIEWS = ["click", "error", "purchase", "view"]
+FRAME_WINDOWS = f"""WITH {STEPS}, v AS (SELECT episode AS sample, kind AS view, min(base) AS start, max(base) - min(base) + 1 AS frames, 15 + 15 * (episode % 7 % 2) * (CASE WHEN kind = 'view' AND episode % 3 = 0 THEN 0 ELSE 1 END) AS fps, min(event_id) AS c FROM s WHERE kind IN {tuple(VIEWS)} GROUP BY ALL),
+m AS (SELECT sample, count(*) AS n, min(fps) AS fps, max(fps) AS most, max(start) AS lo, min(start + frames) AS hi, list(CASE view WHEN 'click' THEN 'front:' WHEN 'error' THEN 'left:' WHEN 'purchase' THEN 'right:' ELSE 'back:' END || ' ' || c ORDER BY view) AS said FROM v GROUP BY 1),
+p AS (SELECT *, CASE WHEN n < 4 THEN 'a view is missing' WHEN fps <> most THEN 'frame rates differ' WHEN lo + 3 * 2 >= hi THEN 'too few frames' END AS problem FROM m)"""
+
+
+@query("ma30_view_alignment", f"""{FRAME_WINDOWS} SELECT sample, problem, CASE WHEN problem IS NULL THEN fps END AS fps, CASE WHEN problem IS NULL THEN lo || ',' || (lo + 2) || ',' || (lo + 4) || ',' || (lo + 6) END AS frames,
+CASE WHEN problem IS NULL THEN array_to_string(said, '|') END AS captions FROM p""")
+def ma30_alignment(spark, sf):
+    """Kinds of a user's events are views of one scene: the frames that all views share, and captions with their prefixes."""
+    s = steps(spark, sf).where(F.col("kind").isin(VIEWS))
+    uneven = F.when((F.col("view") == "view") & (F.col("sample") % 3 == 0), 0).otherwise(1)
+    v = s.groupBy(F.col("episode").alias("sample"), F.col("kind").alias("view")).agg(F.min("base").alias("start"), (F.max("base") - F.min("base") + 1).alias("frames"), F.min("event_id").cast("string").alias("caption"))
+    v = v.withColumn("fps", 15 + 15 * (F.col("sample") % 7 % 2) * uneven)
+    got = multiview_frames(v, VIEWS, 4, 2, dict(zip(VIEWS, ["front:", "left:", "right:", "back:"], strict=True)), merge=True)
+    return got.select("sample", "problem", "fps", F.array_join(F.transform("frame_ids", lambda x: x.cast("string")), ",").alias("frames"), F.array_join("captions", "|").alias("captions"))
+
+
 @query("ma31_decode_plan", "SELECT doc_id, string_agg(CAST(k * (n_chars // 9) AS VARCHAR), ',' ORDER BY k) AS frames FROM documents CROSS JOIN range(9) t(k) WHERE n_chars >= 9 GROUP BY 1")
 def ma31(spark, sf):
     """Frame indices that a decoder is asked for: 9, evenly spaced."""

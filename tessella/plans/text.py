@@ -10,9 +10,8 @@ from tessella.functions import strings as T
 from tessella.operators import captions as C
 from tessella.registry import query
 
-#: Phrases of camera motion, used in exclude mode.
-CAMERA = ["pan left", "pan right", "zoom in", "zoom out", "camera moves", "camera follows", "tracking shot", "dolly", "tilt up", "tilt down"]
-EXCLUDE = ["trash", "idiot", *CAMERA]
+#: Sample phrases to exclude; the operator takes any list from its caller.
+EXCLUDE = ["trash", "idiot", "lens swings", "slow glide past", "viewpoint drifts"]
 WORDS = ["idiot", "moron", "scum", "loser", "disgusting", "license"]
 
 

@@ -13,7 +13,7 @@ from tessella.functions import strings as T
 from tessella.functions import vectors as V
 from tessella.operators import evaluation as E
 from tessella.operators import mixture as M
-from tessella.operators import prep, shards
+from tessella.operators import prep, ranks, shards
 from tessella.operators import stats as ST
 from tessella.operators import steps as S
 from tessella.sources import readers
@@ -144,8 +144,9 @@ def test_rank_ranges():
     assert M.rank_ranges(2, 3) == [(0, 1), (1, 2), (0, 1)]
 
 
-def test_worker_allocation_covers_all():
-    got = shards.greedy_workers({"16,9": 700, "1,1": 200, "9,16": 100}, 16)
+def test_worker_allocation_covers_all(spark):
+    groups = spark.createDataFrame([("16,9", 700), ("1,1", 200), ("9,16", 100)], "key string, n long")
+    got = {r.key: r.workers for r in ranks.allocated_workers(groups, 16).collect()}
     assert sum(got.values()) == 16 and min(got.values()) >= 1 and got["16,9"] > got["1,1"] >= got["9,16"]
 
 
