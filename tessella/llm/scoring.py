@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import chain, passes, string_buffer, word_hashes, word_spans
+from tessella.llm.arrowtext import chain, mix, passes, string_buffer, word_hashes, word_spans
 from tessella.llm.staging import stage
 
 #: Text of a block in bytes, n-grams that meet in a bucket about, and tokens of a segment that the automaton reads in one go.
@@ -23,7 +23,7 @@ BLOCK_BYTES, BUCKET_GRAMS, SEGMENT = 8 << 20, 1 << 21, 128
 START, END = np.uint64(0x5EED0000A11CE001), np.uint64(0x5EED0000A11CE002)
 _BLOCK = "block long, doc_id array<bigint>, train array<boolean>, n array<bigint>, stream binary, vocab binary"
 _ASK = "block long, bucket long, k int, history binary, sizes binary, word binary, count binary"
-_ANSWER = "block long, bucket long, k int, count binary, total binary, types binary, known long"
+_ANSWER = "block long, bucket long, k int, count binary, total binary, types binary, known long, split array<bigint>"
 _SCORE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -133,7 +133,80 @@ def _bucket(history: np.ndarray, buckets: int) -> np.ndarray:
     return ((history >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def asked(staged: DataFrame, order: int, buckets: int) -> DataFrame:
+#: Histories of each order that are split, sorted, and the parts of each.
+Splits = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _part(history: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Hashes that stand for the parts of split histories."""
+    return mix(history ^ mix(part.astype(np.uint64) + END))
+
+
+def split_histories(staged: DataFrame, order: int, most: int) -> Splits:
+    """Histories that have more than ``most`` different n-grams in all blocks together, each block's counted, and into how many parts they go.
+
+    Blocks report histories with 16 n-grams or more; what they leave out adds at most 15 records a block to one.  Fewer histories come
+    back than the blocks' n-grams by ``most``, about as many as there are buckets.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for k, g in enumerate(Block(batch, i).grams(order), 2):
+                    sizes = np.bincount(g.owner, minlength=len(g.history))
+                    big = np.flatnonzero(sizes >= 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(big), k, np.int32)), pa.array(g.history[big].view(np.int64)), pa.array(sizes[big])], names=["k", "h", "n"])
+
+    found = staged.mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+    out: Splits = {}
+    for k in range(2, order + 1):
+        own = sorted((r.h % (1 << 64), -(-r.n // most)) for r in found if r.k == k)
+        out[k] = np.array([h for h, _ in own], np.uint64), np.array([p for _, p in own], np.int64)
+    return out
+
+
+@dataclass
+class Request:
+    """The n-grams of a block in the order in which they are asked for: split histories by their parts.
+
+    A split history goes to the buckets of its parts, each n-gram to one by its last token; all parts are asked, as the history's own
+    counts are the sums of theirs.
+    """
+
+    history: np.ndarray
+    sizes: np.ndarray
+    grams: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, g: Grams, vocab: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> Request:
+        big, parts = split
+        count = np.ones(len(g.history), np.int64)
+        at = np.minimum(np.searchsorted(big, g.history), max(0, len(big) - 1))
+        hot = big[at] == g.history if len(big) else np.zeros(len(g.history), bool)
+        count[hot] = parts[at[hot]] if len(big) else 1
+        first = np.cumsum(count) - count
+        history = np.repeat(g.history, count)
+        inner = np.arange(len(history)) - np.repeat(first, count)
+        spread = np.repeat(hot, count)
+        history[spread] = _part(history[spread], inner[spread])
+        own = first[g.owner] + (vocab[g.word] % count[g.owner].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(history, kind="stable")
+        place = np.empty(len(history), np.int64)
+        place[order] = np.arange(len(history))
+        own = place[own]
+        return cls(history[order], np.bincount(own, minlength=len(history)), np.argsort(own, kind="stable"), place, first)
+
+    def told(self, count: np.ndarray, often: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Answers in this order as counts of the block's n-grams and of its histories."""
+        back = np.empty(len(count), np.int64)
+        back[self.grams] = count
+        whole = lambda x: np.add.reduceat(x[self.place], self.first) if len(self.first) else x
+        return back, whole(often), whole(types)
+
+
+def asked(staged: DataFrame, order: int, buckets: int, splits: Splits) -> DataFrame:
     """What blocks send to buckets: histories with the number of their n-grams, and of each n-gram 48 bits of its last token and its count."""
 
     def run(batches):
@@ -143,27 +216,28 @@ def asked(staged: DataFrame, order: int, buckets: int) -> DataFrame:
                 for k, g in enumerate(b.grams(order), 2):
                     if not len(g.history):
                         continue
-                    to = _bucket(g.history, buckets)
+                    r = Request.of(g, b.vocab, splits[k])
+                    to = _bucket(r.history, buckets)
                     some = np.unique(to)
                     cells = np.append(np.searchsorted(to, some), len(to))
-                    inner = np.searchsorted(g.owner, cells)
-                    words = b.vocab[g.word].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    sizes = np.bincount(g.owner, minlength=len(g.history))
-                    columns = [_cut(g.history.astype("<u8"), cells), _cut(sizes.astype("<u4"), cells), _cut(words, inner), _cut(g.count.astype("<u4"), inner)]
+                    inner = np.append(0, np.cumsum(r.sizes))[cells]
+                    words = b.vocab[g.word[r.grams]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    columns = [_cut(r.history.astype("<u8"), cells), _cut(r.sizes.astype("<u4"), cells), _cut(words, inner), _cut(g.count[r.grams].astype("<u4"), inner)]
                     same = lambda x, t: pa.array(np.full(len(some), x), t)
                     yield pa.RecordBatch.from_arrays([same(batch.column("block")[i].as_py(), pa.int64()), pa.array(some), same(k, pa.int32()), *columns], names=_names(_ASK))
 
     return staged.mapInArrow(run, _ASK)
 
 
-def answered(asked: DataFrame) -> DataFrame:
+def answered(asked: DataFrame, splits: Splits) -> DataFrame:
     """Counts of all blocks together, for each cell in its own order: of n-grams, and of histories how often and with how many next tokens.
 
-    ``known`` in a bucket's first row is the number of its tokens that training texts hold.
+    In a bucket's first row ``known`` is the number of its tokens that training texts hold, and ``split`` has the parts of split ones.
     """
+    parts_of = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_part(np.repeat(h, p), np.concatenate([np.arange(x) for x in p])) for h, p in [splits[2]] if len(h))]))
 
     def group(table: pa.Table) -> pa.Table:
-        parts, known = [], 0
+        parts, known, split = [], 0, []
         for k in sorted(set(table.column("k").to_pylist())):
             own = table.filter(pa.compute.equal(table.column("k"), k)).combine_chunks()
             (h, h_at), (size, _), (w, w_at), (c, _) = (string_buffer(own.column(x)) for x in ("history", "sizes", "word", "count"))
@@ -177,22 +251,24 @@ def answered(asked: DataFrame) -> DataFrame:
             first[1:] = owner[1:] != owner[:-1]
             new = first.copy()
             new[1:] |= w[1:] != w[:-1]
-            total = np.add.reduceat(c[order], np.flatnonzero(new))
+            total = np.add.reduceat(c[order], np.flatnonzero(new)) if len(c) else c
             count = np.empty(len(c), np.int64)
             count[order] = total[np.cumsum(new) - 1]
             begin = np.flatnonzero(first[new])
-            often, types = np.add.reduceat(total, begin), np.add.reduceat((total > 0).astype(np.int64), begin)
-            kinds = owner[first]
+            kinds = np.append(owner[first], np.uint64(2**64 - 1))
+            often, types = (np.append(np.add.reduceat(x, begin) if len(begin) else x, 0) for x in (total, (total > 0).astype(np.int64)))
             if k == 2:
-                known = np.count_nonzero((often > 0) & (kinds != START))
-            at = np.searchsorted(kinds, h)
-            cells, inner = h_at // 8, w_at // 6
-            answer = [_cut(count, inner), _cut(often[at], cells), _cut(types[at], cells)]
-            parts.append(pa.table([own.column("block"), own.column("bucket"), own.column("k"), *answer, pa.array(np.zeros(own.num_rows, np.int64))], names=_names(_ANSWER)))
+                there = kinds[:-1][(often[:-1] > 0) & (kinds[:-1] != START)]
+                split = there[np.isin(there, parts_of)].view(np.int64).tolist()
+                known = len(there) - len(split)
+            at = np.searchsorted(kinds[:-1], h)
+            at[kinds[at] != h] = len(kinds) - 1  # a part that no block has n-grams of
+            answer = [_cut(count, w_at // 6), _cut(often[at], h_at // 8), _cut(types[at], h_at // 8)]
+            parts.append(pa.table([own.column("block"), own.column("bucket"), own.column("k"), *answer, pa.array(np.zeros(own.num_rows, np.int64))], names=_names(_ANSWER)[:-1]))
         out = pa.concat_tables(parts)
         first_only = np.zeros(out.num_rows, np.int64)
         first_only[0] = known
-        return out.set_column(6, "known", pa.array(first_only))
+        return out.set_column(6, "known", pa.array(first_only)).append_column("split", pa.array([split] + [[]] * (out.num_rows - 1), pa.list_(pa.int64())))
 
     return asked.groupBy("bucket").applyInArrow(group, _ANSWER)
 
@@ -296,7 +372,7 @@ def language_model_scores(docs: DataFrame, train: Column, order: int = 2) -> Dat
     ``score`` is the log10 probability of a text's tokens (words and one end) under n-grams of up to ``order`` tokens, ``base_score`` that
     of single tokens counted once more each.  Nothing is pruned, capped or sampled: the model grows with the corpus and no task
     holds more of it than its block or bucket needs.  An n-gram goes once a block to its bucket, so frequent ones make as many
-    records as there are blocks.  Equal texts get equal scores.  Null and empty texts are one end; rows whose ``train`` is null aren't
+    records as there are blocks; histories with very many next tokens are split over buckets by these.  Equal texts get equal scores.  Null and empty texts are one end; rows whose ``train`` is null aren't
     learnt from; repeated rows count and come out once each; an empty table gives no rows; without training texts all
     tokens are unknown.  Histories are known by 64 bits, next tokens of one history by 48.  Jobs run as this is called.
     """
@@ -308,8 +384,11 @@ def language_model_scores(docs: DataFrame, train: Column, order: int = 2) -> Dat
     if size["all"] is None:
         return spark.createDataFrame([], _SCORE).withColumn("train_tokens", F.lit(0).cast("long"))
     learnt = size["learnt"]
-    answers = stage(answered(asked(staged, order, 1 + size["all"] * (order - 1) // BUCKET_GRAMS)), "answers")
-    known = answers.agg(F.sum("known")).first()[0] + (learnt > 0)  # the end is a token, too
+    splits = split_histories(staged, order, BUCKET_GRAMS // 4)
+    answers = stage(answered(asked(staged, order, 1 + size["all"] * (order - 1) // BUCKET_GRAMS, splits), splits), "answers")
+    there = {r.h % (1 << 64) for r in answers.select(F.explode("split").alias("h")).collect()}  # fewer than the parts of split histories
+    whole = sum(not there.isdisjoint(_part(np.full(p, h), np.arange(p)).tolist()) for h, p in zip(*splits[2], strict=True) if h != START)
+    known = answers.agg(F.sum("known")).first()[0] + whole + (learnt > 0)  # the end is a token, too
 
     def score(key, mine: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(mine)
@@ -317,7 +396,8 @@ def language_model_scores(docs: DataFrame, train: Column, order: int = 2) -> Dat
         told = told.sort_by([("k", "ascending"), ("bucket", "ascending")])
         for k in range(2, order + 1):
             own = told.filter(pa.compute.equal(told.column("k"), k)).combine_chunks()
-            got.append(tuple(string_buffer(own.column(c))[0].view("<i8") for c in ("count", "total", "types")))
+            answer = (string_buffer(own.column(c))[0].view("<i8") for c in ("count", "total", "types"))
+            got.append(Request.of(levels[k - 2], b.vocab, splits[k]).told(*answer))
         often = np.zeros(len(b.vocab), np.int64)
         held = levels[0].context >= 0
         often[held] = got[0][1][levels[0].context[held]]
@@ -331,7 +411,7 @@ def language_model_scores(docs: DataFrame, train: Column, order: int = 2) -> Dat
         seen = np.bincount(text, weights=(often > 0)[b.stream[token]], minlength=len(b.n)).astype(np.int64)
         return pa.table([b.doc_id, pa.array(b.n), pa.array(seen), pa.array(base), pa.array(total)], names=_names(_SCORE))
 
-    return staged.groupBy("block").cogroup(answers.drop("known").groupBy("block")).applyInArrow(score, _SCORE).withColumn("train_tokens", F.lit(learnt).cast("long"))
+    return staged.groupBy("block").cogroup(answers.drop("known", "split").groupBy("block")).applyInArrow(score, _SCORE).withColumn("train_tokens", F.lit(learnt).cast("long"))
 
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,16 +57,20 @@ def sample():
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_by_definition(spark, monkeypatch, order, small):
     if small:  # many blocks and buckets
-        monkeypatch.setattr(S, "BLOCK_BYTES", 500)
-        monkeypatch.setattr(S, "BUCKET_GRAMS", 700)
+        monkeypatch.setattr(S, "BLOCK_BYTES", 3000)
+        monkeypatch.setattr(S, "BUCKET_GRAMS", 160)
     texts = sample()
     train = [k % 4 != 1 for k in range(len(texts))]
+    splits, find = {}, S.split_histories
+    monkeypatch.setattr(S, "split_histories", lambda *a: splits.update(found := find(*a)) or found)
     docs = spark.createDataFrame([(k, t, b, "x") for k, (t, b) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, learn boolean, score string").repartition(3)
     got = S.language_model_scores(docs, F.col("learn"), order).orderBy("doc_id").collect()
     assert len(got) == len(texts)
     for r, w in zip(got, direct(texts, train, order), strict=True):
         assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
         assert r.base_score == pytest.approx(w[3], rel=1e-12) and r.score == pytest.approx(w[4], rel=1e-12)
+    if small:
+        assert any(len(h) for h, _ in splits.values())
     same = [r.score for r in got if texts[r.doc_id] == texts[0]]
     assert len(same) == 3 and len(set(same)) == 1
 
