@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import prefix_sum
+from tessella.shared import cut
+
+#: Datasets of a mixture that travel with every row (some 50 bytes each); more are joined by shuffling.
+MOST_PARTS = 20_000
+
 
 def repeat_factors(parts: DataFrame) -> DataFrame:
     """Add ``factor``, ``virtual`` size and ``share`` (percent) to one row per dataset (n, ratio).
@@ -20,11 +26,29 @@ def repeat_factors(parts: DataFrame) -> DataFrame:
 
 def locate(index: DataFrame, parts: DataFrame) -> DataFrame:
     """Dataset and row within it of each virtual index ``i``: the dataset whose range of the running sum of ``virtual``
-    sizes holds i (taken modulo the whole), the row modulo its real size.  ``parts`` is the small mixture table."""
-    run = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = parts.where("virtual > 0").withColumn("hi", F.sum("virtual").over(run)).withColumn("lo", F.col("hi") - F.col("virtual")).withColumn("total", F.sum("virtual").over(Window.partitionBy()))
-    at = F.pmod(F.col("i"), F.col("total"))
-    return index.join(F.broadcast(ends), (at >= F.col("lo")) & (at < F.col("hi"))).select(*index.columns, "dataset", F.pmod(at - F.col("lo"), F.col("n")).alias("row"))
+    sizes holds i (taken modulo the whole), the row modulo its real size.
+
+    Up to MOST_PARTS datasets (counted) travel as one sorted array in which every index is searched by halving, log2 of their
+    number steps a row; more are cut at the borders of equal stretches and joined by stretch, so that an index meets the few ranges that
+    begin or end in its own.  Datasets of no size hold nothing.  Jobs run as this is called.
+    """
+    placed = cut(prefix_sum(parts.where("virtual > 0"), "dataset", "virtual", "lo").select("dataset", "n", "virtual", "lo"), "ranges")
+    size = placed.agg(F.count("*").alias("parts"), F.sum("virtual").alias("total")).first()
+    at = F.pmod(F.col("i"), F.lit(size["total"]))
+    found = [*index.columns, F.col("_p.dataset").alias("dataset"), F.pmod(at - F.col("_p.lo"), F.col("_p.n")).alias("row")]
+    if not size["parts"]:
+        return index.withColumn("_p", F.lit(None).cast("struct<lo: bigint, n: bigint, dataset: string>")).where("false").select(*found)
+    one = F.struct("lo", "dataset", "n", "virtual")
+    if size["parts"] <= MOST_PARTS:
+        sorted_ = placed.agg(F.array_sort(F.collect_list(one)).alias("_all"))
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(size["parts"].bit_length()))))
+        place = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.coalesce(F.get("_all", lo + step)["lo"] <= at, F.lit(False)), lo + step).otherwise(lo))
+        return index.crossJoin(F.broadcast(sorted_)).withColumn("_p", F.get("_all", place)).select(*found)
+    width = -(-size["total"] // size["parts"])
+    stretches = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("virtual") - 1) / width))
+    ranges = placed.select(one.alias("_p"), F.explode(stretches).alias("_s"))
+    met = index.withColumn("_s", F.floor(at / width)).join(ranges, "_s")
+    return met.where((at >= F.col("_p.lo")) & (at < F.col("_p.lo") + F.col("_p.virtual"))).select(*found)
 
 
 def interleave_slot(i: Column, ratios: list[int]) -> tuple[Column, Column]:

@@ -53,13 +53,13 @@ def split_table(spark: SparkSession) -> DataFrame:
 @query("pf2_excluded_episodes", "SELECT DISTINCT user_id AS episode FROM events WHERE user_id IN (3, 4, 5, 9, 0, 1)")
 def pf2(spark, sf):
     gone = S.excluded_episodes(split_table(spark), ["FAIL", "Bad_Frames", "unknown"])
-    return episodes(spark, sf).join(F.broadcast(gone), "episode", "left_semi").select("episode")
+    return episodes(spark, sf).join(gone, "episode", "left_semi").select("episode")
 
 
 @query("pf3_episode_exclusion", f"{EPISODES} SELECT episode, count(*) AS n, max(base) AS last FROM s WHERE episode NOT IN (3, 4, 5, 9, 0, 1) GROUP BY 1")
 def pf3(spark, sf):
     gone = S.excluded_episodes(split_table(spark), ["fail", "bad_frames"])
-    return S.exclude(S.enumerate_steps(episodes(spark, sf)), F.broadcast(gone)).groupBy("episode").agg(F.count("*").alias("n"), F.max("base").alias("last"))
+    return S.exclude(S.enumerate_steps(episodes(spark, sf)), gone).groupBy("episode").agg(F.count("*").alias("n"), F.max("base").alias("last"))
 
 
 @query("pf4_enumerate_steps", f"WITH {STEPS} SELECT episode, base FROM s")

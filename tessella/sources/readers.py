@@ -6,10 +6,14 @@ import io
 import tarfile
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.captions import first_caption
+from tessella.operators.transforms import check_list
 from tessella.sources.stores import uri_parts  # noqa: F401
 
 #: Formats whose content runs code when loaded.
@@ -120,6 +124,65 @@ def tar_shards(spark: SparkSession, path: str, suffixes: list[str] | None = None
     return files.mapInPandas(expand, "shard string, key string, suffix string, position long, data binary")
 
 
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, shape, values): the numeric arrays of .npy files, and each member of .npz files, as flat doubles by rows.
+
+    Arrays of objects would run code when loaded and are an error.
+    """
+
+    def load(batches):
+        for batch in batches:
+            for at, raw in zip(batch.column("path"), batch.column("content"), strict=True):
+                got = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
+                for name in got.files if hasattr(got, "files") else [""]:
+                    a = got[name] if name else got
+                    yield pa.RecordBatch.from_arrays([pa.array([at.as_py()]), pa.array([name]), pa.array([list(a.shape)], pa.list_(pa.int64())), pa.array([a.astype(float).ravel()])], names=["path", "name", "shape", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(load, "path string, name string, shape array<bigint>, values array<double>")
+
+
+def read_checks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, question, answer, contains, must_pass): the question checks of YAML files, one file a configuration, in order.
+
+    Must-pass checks come first (see ``check_list``).  Needs a YAML parser on the executors.
+    """
+
+    def load(batches):
+        import yaml
+
+        for pdf in batches:
+            rows = [(at, k, c["question"], c["answer"], c["contains"], c["must_pass"]) for at, raw in zip(pdf["path"], pdf["content"], strict=True) for k, c in enumerate(check_list(yaml.safe_load(raw) or {}))]
+            yield pd.DataFrame(rows, columns=["path", "at", "question", "answer", "contains", "must_pass"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(load, "path string, at int, question string, answer string, contains array<string>, must_pass boolean")
+
+
+def caption_dataset(spark: SparkSession, root: str, kind: str = "auto", prompt: str | None = None) -> DataFrame:
+    """(video, caption): the videos below ``root``/videos with their captions; a video without one has null.
+
+    ``kind`` json reads captions/*.json and takes the caption of type ``prompt`` (see ``captions.first_caption``), text reads metas/*.txt;
+    auto takes json if there is any such file, else text, else it is an error.
+    """
+    folders = {"json": ("captions", "*.json"), "text": ("metas", "*.txt")}
+    there = lambda k: is_folder(spark, f"{root}/{folders[k][0]}") and not list_files(spark, f"{root}/{folders[k][0]}", folders[k][1]).isEmpty()
+    if kind == "auto":
+        kind = next((k for k in folders if there(k)), None)
+        if not kind:
+            raise ValueError(f"neither captions/*.json nor metas/*.txt in {root}")
+    elif kind not in folders:
+        raise ValueError(f"unknown caption format {kind}")
+    elif not is_folder(spark, f"{root}/{folders[kind][0]}"):
+        raise ValueError(f"no folder {folders[kind][0]} in {root}")
+    folder, pattern = folders[kind]
+    stem = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]*$", 1)
+    body = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/{folder}").select(stem("path").alias("stem"), F.decode("content", "UTF-8").alias("body"))
+    text = first_caption(F.col("body"), prompt or "") if kind == "json" else F.trim("body")
+    videos = list_files(spark, f"{root}/videos", "*.mp4").select("path", stem("path").alias("stem"))
+    return videos.join(body, "stem", "left").select(F.col("path").alias("video"), text.alias("caption"))
+
+
 def samples(shards: DataFrame, suffixes: list[str]) -> DataFrame:
     """One row per complete sample: a column per suffix; repeated keys count once, incomplete samples are left out."""
     one = shards.where(F.col("suffix").isin(suffixes)).groupBy("key").pivot("suffix", suffixes).agg(F.min_by("data", F.struct("shard", "position")))
