@@ -178,7 +178,7 @@ def caption_dataset(spark: SparkSession, root: str, kind: str = "auto", prompt:
     folder, pattern = folders[kind]
     stem = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]*$", 1)
     body = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/{folder}").select(stem("path").alias("stem"), F.decode("content", "UTF-8").alias("body"))
-    text = first_caption(F.col("body"), prompt or "") if kind == "json" else F.trim("body")
+    text = first_caption(F.col("body"), prompt or "") if kind == "json" else F.regexp_replace("body", r"^\s+|\s+$", "")
     videos = list_files(spark, f"{root}/videos", "*.mp4").select("path", stem("path").alias("stem"))
     return videos.join(body, "stem", "left").select(F.col("path").alias("video"), text.alias("caption"))
 
