@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 Vec = list  # of Columns
@@ -140,6 +140,19 @@ def scaled_angle(m: Vec, factor: float) -> Vec:
     return [1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y, c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x, c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y)]
 
 
+def represented(value: Column, kind: Column, episode: str, order: str) -> Column:
+    """An action as its key's configuration asks: ``relative`` to the episode's first step, ``delta`` to the step before (the first is 0),
+    or as it is."""
+    w = Window.partitionBy(episode).orderBy(order)
+    return F.when(kind == "relative", value - F.first(value).over(w)).when(kind == "delta", F.coalesce(value - F.lag(value).over(w), F.lit(0.0))).otherwise(value)
+
+
+def wired_motion(value: Column, engaged: Column, scale: float, window: str, order: str) -> Column:
+    """Motion since a window's first step, scaled; one flag for the whole window, the first step's: disengaged it is 0."""
+    w = Window.partitionBy(window).orderBy(order)
+    return F.when(F.first(engaged).over(w), scale * (value - F.first(value).over(w))).otherwise(F.lit(0.0))
+
+
 def product_in_order(matrices: Column) -> Column:
     """Ordered product of an array of 9-element arrays; rotations don't commute, so this is a fold and no window sum."""
     start = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])

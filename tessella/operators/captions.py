@@ -31,6 +31,17 @@ def weighted_pick(options: Column, weights: dict[str, float], seed: Column) -> C
     return F.aggregate(F.zip_with(options, w, lambda o, x: F.struct(o.alias("o"), x.alias("w"))), state, step)["pick"]
 
 
+def image_caption(caption: Column, parsed: Column, fallback: Column) -> Column:
+    """An image's caption where it could be parsed and is there, else the fallback."""
+    return F.coalesce(F.when(parsed, caption), fallback)
+
+
+def caption_mix(human: Column, made: Column, share: float, *seed: Column) -> Column:
+    """The human caption with probability ``share`` (a hash of ``seed``), else the generated one; where the chosen one is missing, the other."""
+    u = F.pmod(F.xxhash64(*seed), F.lit(1000)) / 1000.0
+    return F.when(u < share, F.coalesce(human, made)).otherwise(F.coalesce(made, human))
+
+
 def last_per_tag(rows: DataFrame) -> DataFrame:
     """(view, tag, caption) of the last row (by ``row_no``) for each view and tag; a null tag is ``long``."""
     tag = F.coalesce("tag", F.lit("long"))

@@ -51,6 +51,27 @@ def equalised_workers(groups: DataFrame, workers: int) -> DataFrame:
     return rows.withColumn("per_worker", F.ceil(F.col("n") / F.greatest("workers", F.lit(1)))).drop("_ceil")
 
 
+def assign_by_group(shards: DataFrame, group: str, order: str, workers: int) -> DataFrame:
+    """Add ``worker``: the shards of each group (an aspect ratio, say) dealt one by one to its workers, in order.
+
+    Places come from one numbering of the whole table by group and order, less the group's first, so a group that holds most
+    shards is spread over ranges like any other.
+    """
+    rows = numbered(shards, group, order)
+    first = rows.groupBy(group).agg(F.min("position").alias("_first")).withColumnRenamed(group, "_group")
+    return rows.join(first, rows[group].eqNullSafe(first["_group"])).withColumn("worker", F.pmod(F.col("position") - F.col("_first"), F.lit(workers))).drop("position", "_first", "_group")
+
+
+def batch_concat(inputs: DataFrame, stream: str, order: str, outputs: int, value: str) -> DataFrame:
+    """(stream, batch, values): of each stream's inputs, numbered in order, output batch i merges those numbered i, i + outputs, ...
+
+    Fewer than one output is one.
+    """
+    own = assign_by_group(inputs, stream, order, max(1, outputs))
+    listed = F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("_value"))))
+    return own.groupBy(stream, F.col("worker").alias("batch")).agg(F.transform(listed, lambda x: x["_value"]).alias("values"))
+
+
 def align(streams: dict[str, DataFrame], index: DataFrame | None = None) -> DataFrame:
     """N-way join of sample streams (key, value) on their keys: complete samples only, a repeated key counts once (its
     first value by ``position``), restricted to and ordered by ``index`` (key, position) where given.

@@ -97,6 +97,32 @@ def chain(steps: DataFrame, stride: int) -> DataFrame:
     return rows.withColumn("_k", k).where(F.col("_k") == F.col("base") / stride).drop("_k")
 
 
+def step_delta(steps: DataFrame, value: str) -> DataFrame:
+    """Add ``delta``: a step's value less that of the step before; the first step of an episode has none and is left out."""
+    before = F.lag(value).over(Window.partitionBy("episode").orderBy("base"))
+    return steps.withColumn("delta", F.col(value) - before).where("base > 0")
+
+
+def rebased(steps: DataFrame, value: str, every: int) -> DataFrame:
+    """Add ``moved``: a step's value less that of the last multiple of ``every`` before it, where accumulation begins anew.
+
+    The first step of an episode has none and is left out; a base step that is missing leaves its stretch out.
+    """
+    start = (every * F.floor((F.col("base") - 1) / every)).cast("long")
+    bases = steps.where(F.col("base") % every == 0).select("episode", F.col("base").alias("_start"), F.col(value).alias("_from"))
+    return steps.where("base > 0").withColumn("_start", start).join(bases, ["episode", "_start"]).withColumn("moved", F.col(value) - F.col("_from")).drop("_start", "_from")
+
+
+def consecutive_frames(steps: DataFrame, value: str, start: int, count: int, least: int) -> DataFrame:
+    """(episode, frames): ``count`` values in a row from step ``start`` on; episodes of fewer than ``least`` steps are left out.
+
+    Only the window's rows are gathered, so an episode's length doesn't matter.
+    """
+    own = F.when((F.col("base") >= start) & (F.col("base") < start + count), F.struct("base", value))
+    rows = steps.groupBy("episode").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(own)).alias("_own")).where(F.col("_n") >= least)
+    return rows.select("episode", F.transform("_own", lambda x: x[value]).alias("frames"))
+
+
 def sliding_starts(episodes: DataFrame, interval: int, length: int, ratio: int) -> DataFrame:
     """(episode, start): every ``interval``-th start whose ``length`` frames, ``ratio`` apart, lie in the episode."""
     last = F.col("length") - 1 - (length - 1) * ratio

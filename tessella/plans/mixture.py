@@ -9,6 +9,7 @@ from tessella.catalog import STEPS, steps, table
 from tessella.operators import mixture as M
 from tessella.operators import shards as H
 from tessella.operators import ranks
+from tessella.operators import steps as S
 from tessella.operators.numbering import numbered
 from tessella.registry import query
 
@@ -60,9 +61,8 @@ def st14e(spark, sf):
 @query("st15_batch_concat", "SELECT event_type, g AS batch, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 4 AS g FROM events) GROUP BY 1, 2")
 def st15(spark, sf):
     """Output batch i of each stream merges inputs j * 4 + i."""
-    g = F.pmod(F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1, F.lit(4)).cast("long")
-    rows = table(spark, sf, "events").select("event_type", "event_id", g.alias("batch"))
-    return rows.groupBy("event_type", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    rows = H.batch_concat(table(spark, sf, "events").select("event_type", "event_id"), "event_type", "event_id", 4, "event_id")
+    return rows.select("event_type", "batch", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("st19_mixed_radix", "SELECT event_id, event_id % 5 AS file, event_id // 5 % 3 AS aug, event_id // 15 % 4 AS sigma FROM events")
@@ -82,9 +82,8 @@ def st7(spark, sf):
 
 @query("st17_consecutive_frames", f"WITH {STEPS} SELECT episode, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY base) AS frames FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n FROM s) WHERE n >= 60 AND base >= 2 AND base < 10 GROUP BY 1")
 def st17(spark, sf):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("base", "event_id"))), lambda x: x["event_id"].cast("string"))
-    rows = steps(spark, sf).groupBy("episode").agg(ids.alias("ids")).where(F.size("ids") >= 60)
-    return rows.select("episode", F.array_join(F.slice("ids", 3, 8), ",").alias("frames"))
+    rows = S.consecutive_frames(steps(spark, sf), "event_id", 2, 8, 60)
+    return rows.select("episode", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
 
 @query("st18_frame_thinning", f"WITH {STEPS} SELECT episode, base FROM s WHERE base % 15 = 0")
@@ -181,8 +180,7 @@ def j15(spark, sf):
 
 @query("st4_aspect_assignment", "SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 4 AS BIGINT) AS worker FROM documents")
 def st4(spark, sf):
-    w = F.pmod(F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1, F.lit(4)).cast("long")
-    return table(spark, sf, "documents").select("doc_id", "lang", w.alias("worker"))
+    return H.assign_by_group(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 4)
 
 
 @query("j4_j5_sample_alignment", """WITH v AS (SELECT o_custkey AS key, max_by(o_orderpriority, -o_orderkey) AS video FROM orders GROUP BY 1), t AS (SELECT c_custkey AS key, c_mktsegment AS caption FROM customer WHERE c_acctbal > 0),

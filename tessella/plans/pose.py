@@ -126,10 +126,8 @@ def ma15(spark, sf):
 @query("ma17_representation_switch", f"WITH {BASE}, f AS (SELECT *, first_value(e0) OVER w AS f0, lag(e0) OVER w AS p0 FROM b WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, round(CASE label % 3 WHEN 0 THEN e0 - f0 WHEN 1 THEN coalesce(e0 - p0, 0) ELSE e0 END, 6) + 0 AS y FROM f")
 def ma17(spark, sf):
     """Relative, delta or absolute by the key's configuration (here the label)."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    x = F.col("e")[0]
-    y = F.when(F.col("label") % 3 == 0, x - F.first(x).over(w)).when(F.col("label") % 3 == 1, F.coalesce(x - F.lag(x).over(w), F.lit(0.0))).otherwise(x)
-    return out(rows(spark, sf), ["y"], [y])
+    kind = F.when(F.col("label") % 3 == 0, "relative").when(F.col("label") % 3 == 1, "delta").otherwise("absolute")
+    return out(rows(spark, sf), ["y"], [P.represented(F.col("e")[0], kind, "label", "vec_id")])
 
 
 @query("ma18_dual_arm_relative", f"WITH {GS_EPS} SELECT a.vec_id, round(a.e6 - f.e6, 6) + 0 AS x, round(f.x0 * a.x0 + f.x1 * a.x1 + f.x2 * a.x2, 5) + 0 AS c FROM g a JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) f ON a.label = f.label WHERE a.vec_id <> f.vec_id")
@@ -170,7 +168,5 @@ def ma26(spark, sf):
 @query("ma20_wired_motion", f"WITH {BASE}, f AS (SELECT *, first_value(e0) OVER w AS f0, first_value(e6 > 0) OVER w AS on_ FROM b WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, round(CASE WHEN on_ THEN 0.5 * (e0 - f0) ELSE 0 END, 6) + 0 AS dx FROM f")
 def ma20(spark, sf):
     """The wired preset: one engagement flag per window, motion scaled by 0.5, grippers untouched."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    on = F.first(F.col("e")[6] > 0).over(w)
-    return out(rows(spark, sf), ["dx"], [F.when(on, 0.5 * (F.col("e")[0] - F.first(F.col("e")[0]).over(w))).otherwise(F.lit(0.0))])
+    return out(rows(spark, sf), ["dx"], [P.wired_motion(F.col("e")[0], F.col("e")[6] > 0, 0.5, "label", "vec_id")])
 

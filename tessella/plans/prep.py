@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import STEPS, steps, table
 from tessella.operators import prep as P
 from tessella.operators.multiview import multiview_frames
+from tessella.operators.transforms import augmented, augmentors
 from tessella.registry import query
 
 
@@ -114,14 +115,26 @@ def pf27(spark, sf):
     return P.overridden(rows, {"steps": F.lit(3)}).select("p_partkey", "steps")
 
 
+@augmentors.add("long_texts")
+def long_texts(rows):
+    return rows.where("n_chars > 100")
+
+
+@augmentors.add("two_parts")
+def two_parts(rows):
+    return rows.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
+
+
+@augmentors.add("parts_apart")
+def parts_apart(rows):
+    return rows.where("doc_id % 3 <> part")
+
+
 @query("pf20_augmentor_chain", "SELECT doc_id, part FROM (SELECT doc_id, unnest([1, 2]) AS part FROM documents WHERE n_chars > 100) WHERE doc_id % 3 <> part")
 def pf20(spark, sf):
     """A chain of augmentors: map, filter and one-to-many steps by DataFrame.transform."""
-    chain = [lambda d: d.where("n_chars > 100"), lambda d: d.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2)))), lambda d: d.where("doc_id % 3 <> part")]
     rows = table(spark, sf, "documents").select("doc_id", "n_chars")
-    for step in chain:
-        rows = rows.transform(step)
-    return rows.select("doc_id", "part")
+    return augmented(rows, ["long_texts", "two_parts", "parts_apart"]).select("doc_id", "part")
 
 
 @query("st12_stride_plan", "SELECT p_partkey, max(s) AS stride FROM (SELECT p_partkey, 20 + p_size AS fps, 60 + p_partkey % 200 AS n, unnest(range(1, 60)) AS s FROM part) WHERE CAST(fps AS DOUBLE) / s >= 4 AND CAST(fps AS DOUBLE) / s <= 30 AND 8 * s < n GROUP BY 1")

@@ -165,15 +165,14 @@ def st11(spark, sf):
 @query("tx3_image_caption", "SELECT doc_id, md5(coalesce(CASE WHEN n_chars % 5 <> 0 THEN text END, source)) AS digest FROM documents")
 def tx3(spark, sf):
     """A caption whose parse failed falls back to the source's name."""
-    return docs(spark, sf).select("doc_id", F.md5(F.coalesce(F.when(F.col("n_chars") % 5 != 0, F.col("text")), F.col("source"))).alias("digest"))
+    return docs(spark, sf).select("doc_id", F.md5(C.image_caption(F.col("text"), F.col("n_chars") % 5 != 0, F.col("source"))).alias("digest"))
 
 
 @query("tx4_caption_mix")
 def tx4(spark, sf):
     """Human or generated captions by a seeded draw, the other where one is missing."""
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1000)) / 1000.0
     human, made = F.when(F.col("n_chars") % 7 != 0, F.col("text")), F.col("source")
-    return docs(spark, sf).select("doc_id", F.when(u < 0.6, F.coalesce(human, made)).otherwise(F.coalesce(made, human)).alias("caption"))
+    return docs(spark, sf).select("doc_id", C.caption_mix(human, made, 0.6, F.col("doc_id"), F.lit(11)).alias("caption"))
 
 
 @query("tx14_aspect_ratio", "SELECT page_id, replace(NULLIF(regexp_extract('s3://b/aspect_ratio_' || CASE page_id % 3 WHEN 0 THEN '16_9' WHEN 1 THEN '1_1' ELSE 'x' END || '/' || url, 'aspect_ratio_([0-9]+_[0-9]+)', 1), ''), '_', ',') AS aspect FROM pages")

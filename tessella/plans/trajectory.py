@@ -166,17 +166,13 @@ def wn456(spark, sf):
 
 @query("wn7_step_delta", f"WITH {STEPS} SELECT episode, base, round(value - lag(value) OVER (PARTITION BY episode ORDER BY base), 4) AS delta FROM s QUALIFY base > 0")
 def wn7(spark, sf):
-    d = F.col("value") - F.lag("value").over(Window.partitionBy("episode").orderBy("base"))
-    return steps(spark, sf).select("episode", "base", R(d).alias("delta")).where("base > 0")
+    return S.step_delta(steps(spark, sf), "value").select("episode", "base", R(F.col("delta")).alias("delta"))
 
 
 @query("wn8_rebased", f"WITH {STEPS} SELECT a.episode, a.base, round(a.value - b.value, 4) AS moved FROM s a JOIN s b ON b.episode = a.episode AND b.base = 4 * CAST(floor((a.base - 1) / 4) AS BIGINT) WHERE a.base > 0")
 def wn8(spark, sf):
     """Change since the base, which is set anew every four steps."""
-    s = steps(spark, sf).select("episode", "base", "value")
-    start = (4 * F.floor((F.col("base") - 1) / 4)).cast("long")
-    other = s.select("episode", F.col("base").alias("start"), F.col("value").alias("v0"))
-    return s.where("base > 0").withColumn("start", start).join(other, ["episode", "start"]).select("episode", "base", R(F.col("value") - F.col("v0")).alias("moved"))
+    return S.rebased(steps(spark, sf).select("episode", "base", "value"), "value", 4).select("episode", "base", R(F.col("moved")).alias("moved"))
 
 
 @query("wn9_sliding_starts", f"{EPISODES} SELECT e.episode, b.base AS start FROM e JOIN s b USING (episode) WHERE b.base % 4 = 0 AND b.base + 5 * 3 < length")
