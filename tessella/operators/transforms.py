@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import importlib
+import io
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +113,37 @@ class Registry(dict):
 augmentors, decoders = Registry(), Registry()
 
 
+@decoders.add("txt")
+def decoded_text(data: Column) -> Column:
+    """Bytes as text."""
+    return F.decode(data, "UTF-8")
+
+
+@decoders.add("json")
+def decoded_json(data: Column) -> Column:
+    """Bytes as a parsed JSON value (variant); null where they aren't JSON."""
+    return F.try_parse_json(F.decode(data, "UTF-8"))
+
+
+@decoders.add("npy")
+def decoded_array(data: Column) -> Column:
+    """Bytes of an .npy file as flat doubles by rows; arrays of objects are an error."""
+
+    @F.pandas_udf("array<double>")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.load(io.BytesIO(b), allow_pickle=False).astype(float).ravel())
+
+    return run(data)
+
+
+def decoded(samples: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns of bytes replaced by what the named decoders make of them; an unknown decoder is an error."""
+    unknown = sorted({k for k in kinds.values() if k not in decoders})
+    if unknown:
+        raise KeyError(f"no decoder {', '.join(unknown)}; known: {', '.join(sorted(decoders))}")
+    return samples.withColumns({c: decoders[k](F.col(f"`{c}`")) for c, k in kinds.items()})
+
+
 def augmented(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Apply registered augmentors (table to table) in order."""
     for n in names:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalog import table
 from tessella.operators import sinks as K
+from tessella.operators.transforms import decoded
 from tessella.plans.text import PAIRS, answers
 from tessella.registry import query
 from tessella.shared import new_path
@@ -34,6 +35,18 @@ def sc8(spark, sf):
     return shards.read_shards(spark, path).select("key", "suffix", F.length("data").cast("long").alias("bytes"), F.md5("data").alias("digest"))
 
 
+@query("ud3_decoded_samples", "SELECT printf('%09d', doc_id) AS key, length(text) AS letters, lang, source FROM documents WHERE text IS NOT NULL")
+def ud3(spark, sf):
+    """Documents as samples of two members, read from shards, put together by key, decoded by suffix."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("key", F.format_string("%09d", "doc_id"))
+    parts = [docs.select("key", F.lit("txt").alias("suffix"), F.encode("text", "UTF-8").alias("data")), docs.select("key", F.lit("json").alias("suffix"), F.encode(F.to_json(F.struct("lang", "source")), "UTF-8").alias("data"))]
+    path = new_path(spark, "samples")
+    shards.write_shards(parts[0].unionByName(parts[1]), path)
+    whole = decoded(readers.samples(shards.read_shards(spark, path), ["txt", "json"]), {"txt": "txt", "json": "json"})
+    field = lambda n: F.try_variant_get("json", f"$.{n}", "string").alias(n)
+    return whole.select("key", F.length("txt").cast("long").alias("letters"), field("lang"), field("source"))
+
+
 @query("sk1_dump_formats", "SELECT k AS kind, s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier CROSS JOIN (VALUES ('csv'), ('json'), ('jsonl'), ('parquet'), ('txt')) t(k)")
 def sk1(spark, sf):
     """Suppliers written and read again in every format that the dispatch knows."""

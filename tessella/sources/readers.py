@@ -18,7 +18,7 @@ from tessella.sources.stores import uri_parts  # noqa: F401
 
 #: Formats whose content runs code when loaded.
 REFUSED = {"pickle", "pkl", "pt", "pth", "ckpt", "jit"}
-BINARY = {"png", "jpg", "jpeg", "mp4", "webm", "npy", "npz", "obj", "ply", "tar", "gz", "byte"}
+BINARY = {"png", "jpg", "jpeg", "mp4", "webm", "obj", "ply", "tar", "gz", "byte"}
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -44,6 +44,8 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
         "jsonl": spark.read.json,
         "csv": spark.read.option("header", True).csv,
         "txt": spark.read.text,
+        "npy": lambda p: read_arrays(spark, p),
+        "npz": lambda p: read_arrays(spark, p),
         "yaml": spark.read.option("wholetext", True).text,
         "yml": spark.read.option("wholetext", True).text,
     }

@@ -52,3 +52,19 @@ def test_pixels(spark):
     assert X.filled_depth(X.load_npz(raw.getvalue(), "d")).tolist() == [1, 4, 4]
     got = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), (None,)], "v array<double>").select(X.per_image(X.flip, (2, 2))("v")).collect()
     assert [r[0] for r in got] == [[2, 1, 4, 3], None]
+
+
+def test_decoders_by_name(spark):
+    import io
+
+    import numpy as np
+
+    from tessella.operators import transforms as X
+
+    raw = io.BytesIO()
+    np.save(raw, np.array([[1, 2], [3, 4]], np.int8))
+    df = spark.createDataFrame([(bytearray("é", "utf-8"), bytearray(b'{"a": {"b": 7}}'), bytearray(raw.getvalue())), (None, bytearray(b"{"), None)], "t binary, `m.json` binary, a binary")
+    got = X.decoded(df, {"t": "txt", "m.json": "json", "a": "npy"}).selectExpr("t", "try_variant_get(`m.json`, '$.a.b', 'int') AS b", "a").collect()
+    assert [tuple(r) for r in got] == [("é", 7, [1, 2, 3, 4]), (None, None, None)]
+    with pytest.raises(KeyError, match="known"):
+        X.decoded(df, {"t": "gif"})
