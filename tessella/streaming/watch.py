@@ -75,8 +75,8 @@ def heartbeats(stream: DataFrame, key: str, minutes: float) -> DataFrame:
     """(key, kind, reports): ``alive`` when a key reports first or again after silence, ``beat`` when it reports and its last heartbeat is
     ``minutes`` old or more, and ``silent`` when it hasn't reported for so long.
 
-    A timer of processing time in the key's state fires with the first batch after it is due, so silence is told while other keys or
-    empty triggers keep the query going.  ``reports`` counts the rows of the key so far.  State is one short row a key; a
+    A timer of processing time in the key's state fires with the first batch after it is due; Spark keeps running batches, also without
+    rows, as long as there are timers, so silence is told though nothing arrives (and such a query never has all done).  ``reports`` counts the rows of the key so far.  State is one short row a key; a
     silent key's row stays until it reports again, for it to be told once.
     """
     wait = int(minutes * 60_000)
