@@ -86,12 +86,12 @@ def sk5(spark, sf):
     return v.select("name", "v.label", "v.episode", "v.frame_decay.num_frames", "v.frame_decay.mean_l1", F.col("j").rlike("per_frame|\"_").alias("leaks"))
 
 
-@query("sk6_telemetry_csv", """WITH t AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS iteration, user_id % 8 AS rank, avg(value) AS util, max(value) AS power FROM events GROUP BY 1, 2)
-SELECT iteration, m AS metric, round(avg(v), 5) AS avg, round(max(v), 5) AS max, round(min(v), 5) AS min FROM (SELECT iteration, 'util' AS m, util AS v FROM t UNION ALL SELECT iteration, 'power', power FROM t) GROUP BY 1, 2""")
+@query("sk6_telemetry_csv", """WITH t AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS iteration, user_id % 8 AS rank, sum(CAST(round(value * 100) AS BIGINT)) AS util, max(value) AS power FROM events GROUP BY 1, 2)
+SELECT iteration, m AS metric, round(avg(v), 5) AS avg, round(max(v), 5) AS max, round(min(v), 5) AS min FROM (SELECT iteration, 'util' AS m, util::DOUBLE AS v FROM t UNION ALL SELECT iteration, 'power', power FROM t) GROUP BY 1, 2""")
 def sk6(spark, sf):
     """Telemetry of ranks by iteration (a day of events), appended in three writes of which one repeats iterations; summed up from the files."""
     ts = F.col("ts").cast("timestamp")
-    rows = table(spark, sf, "events").groupBy(F.floor(F.unix_seconds(ts) / 86400).alias("iteration"), (F.col("user_id") % 8).alias("rank")).agg(F.avg("value").alias("util"), F.max("value").alias("power"))
+    rows = table(spark, sf, "events").groupBy(F.floor(F.unix_seconds(ts) / 86400).alias("iteration"), (F.col("user_id") % 8).alias("rank")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("util"), F.max("value").alias("power"))
     path = new_path(spark, "telemetry")
     for part in ("iteration % 2 = 0", "iteration % 2 = 1", "iteration % 4 = 0"):
         K.append_telemetry(rows.where(part), path)
