@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 #: Pairs whose blocks are matched in one go.
 PAIRS = 1 << 15
+#: Letters of texts that are compared together.
+CELLS = 1 << 20
+#: Bytes of text that one pass works on.
+PASS_BYTES = 1 << 22
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,29 +72,58 @@ def needs_bigram(size: int, changes: float) -> bool:
     return all(m > n + size - 2 * m + 1 for n, m in zip(sizes, least, strict=True))
 
 
+def _allowed(sizes: np.ndarray, n: int, changes: float) -> np.ndarray:
+    """Texts of which sizes may resemble a word of n letters."""
+    need = (n - changes) / n if n else 1.0
+    both = sizes + n
+    return (2.0 * np.minimum(sizes, n) / np.maximum(both, 1) >= need) & (both > 0)
+
+
+def _letter_counts(a: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """How often each text has each letter of the alphabet."""
+    if not len(alphabet):
+        return np.zeros((len(a), 0), np.int32)
+    code = np.minimum(np.searchsorted(alphabet, a), len(alphabet) - 1)
+    row, at = np.nonzero(alphabet[code] == a)
+    return np.bincount(row * len(alphabet) + code[row, at], minlength=len(a) * len(alphabet)).astype(np.int32).reshape(len(a), -1)
+
+
 def resembled(runs: list[str], words: list[str], changes: float = 1) -> np.ndarray:
     """For every text the place of the first of ``words`` that it resembles, or -1.
 
-    Resembling is a ratio of 2 * matched letters / both sizes of at least (size of the word - changes) / size of the word.  A word's
-    candidates come from an index of bigrams, then must pass the bounds by size and by common letters; only what is left is matched.
+    Resembling is a ratio of 2 * matched letters / both sizes of at least (size of the word - changes) / size of the word.  Texts of a size
+    that no word allows are left out; the others are compared in groups of about ``CELLS`` letters, longest first, so that neither their
+    number nor a long one among them makes a large matrix.
     """
-    out = np.full(len(runs), len(words))
-    if not runs or not words:
-        return np.full(len(runs), -1)
-    a, a_size = _letters(runs)
+    out = np.full(len(runs), -1)
     b, b_size = _letters(words)
-    alphabet, code = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
-    count_a, count_b = np.zeros((len(a), len(alphabet)), np.int32), np.zeros((len(b), len(alphabet)), np.int32)
-    np.add.at(count_a, (np.repeat(np.arange(len(a)), a.shape[1]), code[: a.size]), 1)
-    np.add.at(count_b, (np.repeat(np.arange(len(b)), b.shape[1]), code[a.size :]), 1)
-    count_a[:, alphabet == 0] = count_b[:, alphabet == 0] = 0
+    alphabet = np.unique(b[b > 0])
+    listed = b, b_size, alphabet, _letter_counts(b, alphabet)
+    size = np.array([len(t) for t in runs], np.int64)
+    kinds, kind = np.unique(size, return_inverse=True)
+    left = np.flatnonzero(np.any([_allowed(kinds, int(n), changes) for n in np.unique(b_size)], axis=0)[kind]) if words else []
+    left = left[np.argsort(-size[left], kind="stable")] if len(left) else left
+    while len(left):
+        part, left = np.split(left, [max(1, CELLS // max(1, int(size[left[0]]), len(alphabet)))])
+        out[part] = _first_resembled([runs[t] for t in part.tolist()], *listed, changes)
+    return out
+
+
+def _first_resembled(runs: list[str], b: np.ndarray, b_size: np.ndarray, alphabet: np.ndarray, count_b: np.ndarray, changes: float) -> np.ndarray:
+    """As ``resembled``, for one group of texts and the letters of the words.
+
+    A word's candidates come from an index of bigrams, then must pass the bounds by size and by common letters; only what is left is matched.
+    """
+    out = np.full(len(runs), len(b))
+    a, a_size = _letters(runs)
+    count_a = _letter_counts(a, alphabet)
     pair = a[:, :-1] << 21 | a[:, 1:]
     real = np.flatnonzero((a[:, 1:] > 0).ravel())
     key, owner = pair.ravel()[real], real // max(1, pair.shape[1])
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
     todo: list[tuple[np.ndarray, np.ndarray]] = []
-    for w in range(len(words)):
+    for w in range(len(b)):
         n = b_size[w]
         need = (n - changes) / n if n else 1.0
         if needs_bigram(int(n), changes):
@@ -98,54 +132,81 @@ def resembled(runs: list[str], words: list[str], changes: float = 1) -> np.ndarr
             near = np.unique(owner[np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)])
         else:
             near = np.arange(len(a))
-        both = a_size[near] + n
-        near = near[(2.0 * np.minimum(a_size[near], n) / np.maximum(both, 1) >= need) & (both > 0)]
+        near = near[_allowed(a_size[near], int(n), changes) & (out[near] > w)]
         common = np.minimum(count_a[near], count_b[w]).sum(1)
         near = near[2.0 * common / (a_size[near] + n) >= need]
         todo.append((near, np.full(len(near), w)))
-    i, w = (np.concatenate(x) for x in zip(*todo, strict=True))
-    for k in range(0, len(i), PAIRS):
-        x, y = i[k : k + PAIRS], w[k : k + PAIRS]
-        ratio = 2.0 * matched_letters(a[x], a_size[x], b[y], b_size[y]) / (a_size[x] + b_size[y])
-        good = ratio >= (b_size[y] - changes) / b_size[y]
-        np.minimum.at(out, x[good], y[good])
-    return np.where(out < len(words), out, -1)
+        if w == len(b) - 1 or sum(len(x) for x, _ in todo) >= PAIRS:
+            i, v = (np.concatenate(x) for x in zip(*todo, strict=True))
+            todo, most = [], min(PAIRS, max(1, CELLS // b.shape[1]))
+            for k in range(0, len(i), most):
+                x, y = i[k : k + most], v[k : k + most]
+                ratio = 2.0 * matched_letters(a[x], a_size[x], b[y], b_size[y]) / (a_size[x] + b_size[y])
+                good = ratio >= (b_size[y] - changes) / b_size[y]
+                np.minimum.at(out, x[good], y[good])
+    return np.where(out < len(b), out, -1)
 
 
-def _windows(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of n tokens within a text: the distinct ones as rows of token numbers, each window's among them, and its text."""
+def _windows(tokens: np.ndarray, owner: np.ndarray, n: int, letters: np.ndarray, sizes: list[int], changes: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of n tokens within a text whose size one of ``sizes`` allows: the distinct ones as rows of token numbers, each window's among them, and its text.
+
+    ``letters``: by token number, how many it has; one blank lies between tokens.
+    """
     at = np.arange(max(0, len(tokens) - n + 1))
     at = at[owner[at] == owner[at + n - 1]] if len(at) else at
-    rows, which = np.unique(np.stack([tokens[at + k] for k in range(n)], axis=1), axis=0, return_inverse=True) if len(at) else (np.zeros((0, n), np.int64), at)
-    return rows, which.ravel(), owner[at]
+    size = sum(letters[tokens[at + k]] for k in range(n)) + n - 1
+    at = at[np.any([_allowed(size, s, changes) for s in sizes], axis=0)]
+    which = np.zeros(len(at), np.int64)
+    for k in range(n):  # numbers of the windows' first k + 1 tokens
+        first, which = np.unique(which * len(letters) + tokens[at + k], return_index=True, return_inverse=True)[1:]
+    return np.stack([tokens[at[first] + k] for k in range(n)], axis=1), which, owner[at]
+
+
+def _passes(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts of about ``PASS_BYTES`` together; a longer text is one of its own."""
+    edge = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + PASS_BYTES, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _first_listed(texts: pa.Array, listed: dict[int, list[str]], changes: float) -> np.ndarray:
+    """The first listed word that a run of each text resembles, or None; ``listed`` has the words by their number of tokens."""
+    out = np.full(len(texts), None, object)
+    split = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()))
+    owner = pc.list_parent_indices(split).to_numpy()
+    flat = pc.list_flatten(split).dictionary_encode()
+    kinds, tokens = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    letters = pc.utf8_length(kinds).to_numpy().astype(np.int64)
+    full = letters[tokens] > 0
+    owner, tokens = owner[full], tokens[full]
+    for n in sorted(listed):
+        rows, which, text = _windows(tokens, owner, n, letters, sorted({len(w) for w in listed[n]}), changes)
+        columns = [kinds.take(pa.array(c)).to_pylist() for c in rows.T]
+        found = resembled([" ".join(r) for r in zip(*columns, strict=True)], listed[n], changes)
+        hit = np.flatnonzero(found[which] >= 0)
+        first, place = np.unique(text[hit], return_index=True)
+        new = np.array([out[t] is None for t in first], bool)
+        out[first[new]] = np.array(listed[n], object)[found[which[hit[place[new]]]]]
+    return out
 
 
 def fuzzy_blocked(words: list[str], changes: float = 1, least: int = 6):
     """A vectorized function: the first listed word of at least ``least`` letters that a run of as many words of the text resembles, else null.
 
-    Runs of fewer words go first, then earlier ones, then words in the order of the list.  Each distinct run of a batch is compared once.
+    Runs of fewer words go first, then earlier ones, then words in the order of the list.  Each distinct run of a pass is compared once; a
+    batch is worked off in passes of ``PASS_BYTES`` of text, so that memory doesn't grow with the rows of a batch.
     """
     listed: dict[int, list[str]] = {}
     for w in words:
         if len(w) >= least:
             listed.setdefault(len(w.split()), []).append(w.lower())
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        split = pc.utf8_split_whitespace(pa.array(texts.fillna("").str.lower().str.strip(), pa.string()))
-        owner = pc.list_parent_indices(split).to_numpy()
-        flat = pc.list_flatten(split).dictionary_encode()
-        kinds, tokens = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        full = np.array([k != "" for k in kinds], bool)[tokens] if len(tokens) else np.zeros(0, bool)
-        owner, tokens = owner[full], tokens[full]
-        out = np.full(len(texts), None, object)
-        for n in sorted(listed):
-            rows, which, text = _windows(tokens, owner, n)
-            found = resembled([" ".join(kinds[t] for t in r) for r in rows.tolist()], listed[n], changes)
-            hit = np.flatnonzero(found[which] >= 0) if len(which) else which
-            first, place = np.unique(text[hit], return_index=True)
-            new = np.array([out[t] is None for t in first], bool)
-            out[first[new]] = np.array(listed[n], object)[found[which[hit[place[new]]]]]
-        return pd.Series(out, index=texts.index, dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [_first_listed(texts.slice(i, j - i), listed, changes) for i, j in _passes(texts)]
+        return pa.array(np.concatenate([np.zeros(0, object), *out]), pa.string())
 
     return run

@@ -57,7 +57,8 @@ def tx6(spark, sf):
     """Captions that resemble a listed word, after the exact check let them pass."""
     exact = T.blocked_word(T.ascii_fold(F.col("text")), WORDS)
     rows = docs(spark, sf).select("doc_id", "text", exact.alias("exact"))
-    return rows.where("exact IS NULL").select("doc_id", T.fuzzy_blocked(["disgusting", "pathetic", "license"])("text").alias("word")).where("word IS NOT NULL")
+    fuzzy = T.fuzzy_blocked(["disgusting", "pathetic", "license"]).asNondeterministic()  # else the filter's own evaluation takes a second Python worker a task
+    return rows.where("exact IS NULL").select("doc_id", fuzzy("text").alias("word")).where("word IS NOT NULL")
 
 
 @query("tx7_censor", "SELECT doc_id, md5(regexp_replace(text, '\\b(idiot|moron|scum|disgusting|license)\\b', '****', 'gi')) AS digest FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")

@@ -2,8 +2,10 @@
 
 import difflib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +71,58 @@ def test_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
     got = {r.id: r.w for r in df.select("id", fuzzy.fuzzy_blocked(words)("t").alias("w")).collect()}
     assert got == {k: direct(t) for k, t in enumerate(texts)} and len(set(got.values())) >= 4
+
+
+def peak_mb(f, *args):
+    tracemalloc.start()
+    try:
+        out = f(*args)
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("changes", [1, 8])
+def test_a_long_run_makes_no_large_matrix(changes):
+    rng = random.Random(changes)
+    runs = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(3000)] + ["b" * 3000, "abcdefgx", ""]
+    words = ["abcdefgh", "hgfedcba"]
+    got, mb = peak_mb(fuzzy.resembled, runs, words, changes)
+    assert got.tolist() == [next((k for k, w in enumerate(words) if ratio(r, w) >= (len(w) - changes) / len(w)), -1) for r in runs]
+    assert got[-2] == 0 and got[-1] == (0 if changes == 8 else -1) and mb < 100
+
+
+def test_memory_does_not_grow_with_the_batch(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "PASS_BYTES", 1 << 16)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(200)) for _ in range(640)]
+    run = fuzzy.fuzzy_blocked(["abcdefgh", "two words"]).func
+    few, many = (peak_mb(run, pa.array(texts[:n]))[1] for n in (160, 640))
+    assert many < 1.5 * few
+
+
+@pytest.mark.parametrize(("size", "cells", "pairs"), [(1, 1, 1), (40, 64, 7), (1 << 22, 1 << 20, 1 << 15)])
+def test_passes_and_groups_change_nothing(spark, monkeypatch, size, cells, pairs):
+    for name, v in (("PASS_BYTES", size), ("CELLS", cells), ("PAIRS", pairs)):
+        monkeypatch.setattr(fuzzy, name, v)
+    words = ["license", "licence", "a bad thing", "disgusting", "größe\u0130n", "\U0001f600smiles"]
+    kinds = ["licens", "licenc", "a vad thing", "licenze", "LICENCE", "disgustng", "disgusting,", "a", "bad", "thing", "thin", "größe\u0130n", "GRÖSSEN", "\U0001f600smile", "x" * 300, "the", "\u03a3"]
+    rng = random.Random(5)
+    texts = [None, "", " \u2003 ", *("".join(rng.choice(kinds) + rng.choice([" ", "  ", "\n", "\u00a0", "\x1f"]) for _ in range(rng.randint(1, 5))) for _ in range(150))]
+    low = [w.lower() for w in words]
+
+    def direct(t):
+        tokens = (t or "").lower().split()
+        runs = [(n, " ".join(tokens[k : k + n])) for n in (1, 3) for k in range(len(tokens) - n + 1)]
+        return next((w for n, r in runs for w in low if len(w.split()) == n and ratio(r, w) >= (len(w) - 1) / len(w)), None)
+
+    got = fuzzy.fuzzy_blocked(words).func(pa.array(texts, pa.string())).to_pylist()
+    assert got == [direct(t) for t in texts] and len(set(got)) >= 6
+    assert fuzzy.fuzzy_blocked(words).func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_the_query_compares_once(spark, capsys):
+    from tessella.plans.text import tx6
+
+    tx6(spark, "/root/testdata/sf0.001").explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
